@@ -11,6 +11,7 @@ from .registry import query, sql
 from .views import SEVERITY_SQL
 
 
+@T.shared
 def rolled(spark, sf):
     return S.roll_up_sections(S.score_sections(T.sections(spark, sf)))
 

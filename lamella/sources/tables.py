@@ -3,12 +3,38 @@
 Row numbers are computed per time / key bucket (`ordinal`), so a hot user, label or conversation is never one task."""
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordinal, position_bucket
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(fn):
+    """Keep a one-row-per-section table between the queries of a session: computed once, spilled to disk when memory is
+    short, rebuilt from its lineage when an executor is lost. Only for section-level statistics, never for pixels."""
+
+    @wraps(fn)
+    def once(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, fn.__module__, fn.__name__, sf_dir)
+        if key not in _SHARED:
+            _SHARED[key] = fn(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return _SHARED[key]
+
+    return once
+
+
+def release() -> None:
+    """Drop every shared table."""
+    while _SHARED:
+        _SHARED.popitem()[1].unpersist()
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,6 +48,7 @@ def padded(prefix: str, col: Column, width: int = 5) -> Column:
     return F.concat(F.lit(prefix), F.lpad(col.cast("string"), width, "0"))
 
 
+@shared
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long")
@@ -85,6 +112,7 @@ def spread_by(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, salt
     return f.join(d, (f[fact_key] == d[dim_key]) & (f["_salt"] == d["_salt"])).drop("_salt")
 
 
+@shared
 def thumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings")
     e = ordinal(e, ["label"], ["vec_id"], position_bucket("vec_id"), "z")
@@ -109,6 +137,7 @@ def edit_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("l_linestatus") == "O", "paint").otherwise("merge").alias("kind"))
 
 
+@shared
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "conversations")
     c = ordinal(c, ["conv_id"], ["turn"], position_bucket("turn"), "_s")
