@@ -14,6 +14,17 @@ def clamp(v: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(lo, F.least(v, hi)).cast("long")
 
 
+def in_windows(points: DataFrame, windows: DataFrame, cell: int = 64) -> DataFrame:
+    """Points (z, y, x) met with every window (zc, y0..x1) that holds them, through an equality join on (section, grid cell)."""
+    def span(a):
+        return F.explode(F.sequence(F.floor(F.col(f"{a}0") / cell).cast("long"), F.floor((F.col(f"{a}1") - 1) / cell).cast("long")))
+
+    w = windows.withColumn("_cy", span("y")).withColumn("_cx", span("x"))
+    p = points.withColumn("_cy", F.floor(F.col("y") / cell).cast("long")).withColumn("_cx", F.floor(F.col("x") / cell).cast("long"))
+    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
+    return p.join(w.withColumnRenamed("zc", "z"), ["z", "_cy", "_cx"]).where(inside).drop("_cy", "_cx")
+
+
 def failure_windows(findings: DataFrame, blocks: DataFrame, size: tuple[int, int, int], n: int, min_sev: int = 1, seed: int = 0) -> DataFrame:
     """Windows centred on findings, worst first; boxes (bx0..by1) centre the window, findings without one get a random spot.
 
@@ -34,27 +45,27 @@ def failure_windows(findings: DataFrame, blocks: DataFrame, size: tuple[int, int
 
 
 def candidate_windows(windows: DataFrame, blocks: DataFrame, size: tuple[int, int, int], budget: int, seed: int = 0, dedupe: int = 8) -> DataFrame:
-    """At most `budget` random windows over the allowed (block, z0), one per `dedupe`-pixel cell."""
+    """At most `budget` random windows over the allowed (block, z0), one per `dedupe`-pixel cell; few windows are drawn several times."""
     dz, dy, dx = size
     fit = blocks.where((F.col("y_end") - F.col("y_start") >= dy) & (F.col("x_end") - F.col("x_start") >= dx))
-    key = [F.col("block_id"), F.col("z0")]
-    c = windows.join(fit, "block_id").withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    key = [F.col("block_id"), F.col("z0"), F.col("_round")]
+    cand = windows.join(fit, "block_id")
+    rounds = max(1, -(-budget // max(1, cand.count())))
+    c = cand.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), *key))
     c = c.withColumn("y0", random_offset(seed + 1, F.col("y_start"), F.col("y_end") - dy + 1, *key)).withColumn("x0", random_offset(seed + 2, F.col("x_start"), F.col("x_end") - dx + 1, *key))
-    c = c.orderBy("_h", "block_id", "z0").limit(budget)
+    c = c.orderBy("_round", "_h", "block_id", "z0").limit(budget)
     first = c.groupBy("block_id", "z0", F.floor(F.col("y0") / dedupe), F.floor(F.col("x0") / dedupe)).agg(F.min(F.struct("_h", "y0", "x0")).alias("f"))
     c = first.select("block_id", "z0", "f.*")
     return with_box(c, size).withColumn("zc", F.col("z0") + dz // 2).withColumn("window_id", F.concat_ws(":", "block_id", "z0", "y0", "x0"))
 
 
 def label_evidence(candidates: DataFrame, pixels: DataFrame, height: int, width: int, col: str = "id") -> DataFrame:
-    """Per window, from its centre section: foreground fraction, distinct ids, boundary fraction.
-
-    `candidates` is a bounded list (n times the candidate factor), so it is broadcast against the pixel scan."""
+    """Per window, from its centre section: foreground fraction, distinct ids, boundary fraction."""
     w = candidates.select("window_id", "zc", "y0", "y1", "x0", "x1")
     area = (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
 
     def within(p):
-        return p.join(F.broadcast(w), (p["z"] == w["zc"]) & (p["y"] >= w["y0"]) & (p["y"] < w["y1"]) & (p["x"] >= w["x0"]) & (p["x"] < w["x1"]))
+        return in_windows(p, w)
 
     fg = within(pixels.where(F.col(col) != 0).select("z", "y", "x", F.col(col).alias("v")))
     per_id = fg.groupBy("window_id", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -79,7 +90,7 @@ def disagreement(candidates: DataFrame, truth: DataFrame, prediction: DataFrame,
     area = (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
 
     def within(p):
-        return p.join(F.broadcast(w), (p["z"] == w["zc"]) & (p["y"] >= w["y0"]) & (p["y"] < w["y1"]) & (p["x"] >= w["x0"]) & (p["x"] < w["x1"]))
+        return in_windows(p, w)
 
     px = ["z", "y", "x"]
     a = truth.where("id <> 0").select(*px, F.lit(True).alias("a"))

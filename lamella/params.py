@@ -96,4 +96,5 @@ def severity_label(rank: Column) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    """Clip to [0, 1]; NULL stays NULL (`greatest` alone would turn it into 0)."""
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
