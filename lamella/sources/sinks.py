@@ -45,4 +45,4 @@ def asset_copy_plan(exported: DataFrame, assets: DataFrame, present: DataFrame)
     first = assets.groupBy("asset").agg(F.min("z_file").alias("zmin"))
     a = assets.join(first, "asset").withColumn("z", F.col("z_file") - F.col("zmin"))
     plan = a.join(exported.select("z").distinct(), "z", "left_semi")
-    return plan.join(present.select("file", F.lit(True).alias("_have")), "file", "left").select("asset", "z", "file", F.when(F.col("_have"), "reused").otherwise("copy").alias("action"))
+    return plan.join(present.select("file").distinct().withColumn("_have", F.lit(True)), "file", "left").select("asset", "z", "file", F.when(F.col("_have"), "reused").otherwise("copy").alias("action"))
