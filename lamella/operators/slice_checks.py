@@ -162,13 +162,14 @@ def severity_long(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     return scores.join(t, "check").withColumn("sev", rank)
 
 
-def excess_over_baseline(df: DataFrame, key: str, col: str, k_mad: float, min_spread: float) -> DataFrame:
-    """max(0, x - median - k * max(MAD * 1.4826, floor)) against the block's own values."""
-    med = exact_percentiles(df, [key], col, {"_med": 0.5})
-    j = spread_join(df, med, [key], position_bucket("z"), "left").withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    mad = exact_percentiles(j, [key], "_dev", {"_mad": 0.5})
-    j = spread_join(j, mad, [key], position_bucket("z"), "left")
-    spread = F.greatest(F.col("_mad") * 1.4826, F.lit(float(min_spread)))
+def excess_over_baseline(df: DataFrame, key: str | list[str], col: str, k_mad: float, min_spread: float | Column) -> DataFrame:
+    """max(0, x - median - k * max(MAD * 1.4826, floor)) against the block's own values. `df` is read several times: store it first."""
+    keys = [key] if isinstance(key, str) else list(key)
+    med = exact_percentiles(df, keys, col, {"_med": 0.5})
+    j = spread_join(df, med, keys, position_bucket("z"), "left").withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
+    mad = exact_percentiles(j, keys, "_dev", {"_mad": 0.5})
+    j = spread_join(j, mad, keys, position_bucket("z"), "left")
+    spread = F.greatest(F.col("_mad") * 1.4826, min_spread if isinstance(min_spread, Column) else F.lit(float(min_spread)))
     return j.withColumn(f"excess_{col}", F.greatest(F.lit(0.0), F.col(col) - F.col("_med") - k_mad * spread)).drop("_med", "_mad", "_dev")
 
 

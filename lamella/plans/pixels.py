@@ -26,7 +26,8 @@ def _reach(src: str) -> dict[str, str]:
 
 
 _STATS = """SELECT z, component, count(*) AS size, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, var_samp(y) AS vy, var_samp(x) AS vx, covar_samp(y, x) AS cyx FROM lab GROUP BY z, component"""
-_FILL = {**_reach("v_pixels"), "st": _STATS, "kp": "SELECT *, row_number() OVER (PARTITION BY z ORDER BY size DESC, component) AS rn FROM st WHERE size / 65536e0 >= 0.0001e0",
+# a pixel is fill when its label is in the upper half of the range
+_FILL = {"fillpx": "SELECT * FROM v_pixels WHERE id >= 5", **_reach("fillpx"), "st": _STATS, "kp": "SELECT *, row_number() OVER (PARTITION BY z ORDER BY size DESC, component) AS rn FROM st WHERE size / 65536e0 >= 0.0001e0",
          "tt": "SELECT z, sum(size) / 65536e0 AS frac_fill, count(*) AS n_components FROM kp GROUP BY z"}
 
 
@@ -35,14 +36,14 @@ SELECT kp.z, round(frac_fill, 8) AS frac_fill, n_components, round(size / 65536e
  round(CASE WHEN size > 2 THEN sqrt(greatest((vy + vx) / 2 + sqrt(((vy - vx) / 2) ** 2 + cyx ** 2), 1e-9) / greatest((vy + vx) / 2 - sqrt(((vy - vx) / 2) ** 2 + cyx ** 2), 1e-9)) ELSE 1e0 END, 6) AS elongation,
  CAST(y0 = 0 AS INTEGER) + CAST(x0 = 0 AS INTEGER) + CAST(y1 = 256 AS INTEGER) + CAST(x1 = 256 AS INTEGER) AS border_sides FROM kp JOIN tt ON tt.z = kp.z WHERE rn = 1"""))
 def fill_components(spark, sf):
-    lab = C.label_components(T.pixels(spark, sf).select("z", "y", "x"), 8)
+    lab = C.label_components(T.pixels(spark, sf).where("id >= 5").select("z", "y", "x"), 8)
     s = C.fill_statistics(lab, H, H, 0.0001)
     return s.select("z", F.round("frac_fill", 8).alias("frac_fill"), "n_components", F.round("largest_frac", 8).alias("largest_frac"), "x0", "y0", "x1", "y1", F.round("elongation", 6).alias("elongation"), "border_sides")
 
 
-@query("component_sizes", "ALG1", sql("v_pixels", ctes={**_reach("v_pixels"), "st": _STATS}, body="SELECT z, size, count(*) AS n FROM st GROUP BY z, size"))
+@query("component_sizes", "ALG1", sql("v_pixels", ctes={k: v for k, v in _FILL.items() if k not in ("kp", "tt")}, body="SELECT z, size, count(*) AS n FROM st GROUP BY z, size"))
 def component_sizes(spark, sf):
-    lab = C.label_components(T.pixels(spark, sf).select("z", "y", "x"), 8)
+    lab = C.label_components(T.pixels(spark, sf).where("id >= 5").select("z", "y", "x"), 8)
     return C.component_stats(lab).groupBy("z", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
