@@ -39,18 +39,20 @@ def decode_pgm(data: bytes) -> np.ndarray:
     """Binary PGM (8 or 16 bit), the one image codec that needs nothing but NumPy. Other codecs plug in as `decoder`."""
     head, pos = [], 0
     while len(head) < 4:
+        if pos >= len(data):
+            raise ValueError("truncated PGM header")
         end = pos
         while end < len(data) and data[end:end + 1] not in (b" ", b"\n", b"\t", b"\r"):
             end += 1
         tok = data[pos:end]
         if tok.startswith(b"#"):
-            pos = data.index(b"\n", pos) + 1
+            pos = data.index(b"\n", pos) + 1  # a missing line end is a ValueError too
             continue
         if tok:
             head.append(tok)
         pos = end + 1
-    if head[0] != b"P5":
-        raise ValueError("not a binary PGM")
+        if head and head[0] != b"P5":
+            raise ValueError("not a binary PGM")
     w, h, top = (int(v) for v in head[1:])
     a = np.frombuffer(data, dtype=">u2" if top > 255 else "u1", offset=pos)
     return a[: h * w].reshape(h, w).astype(np.uint16 if top > 255 else np.uint8)

@@ -27,10 +27,10 @@ def test_file_order_does_not_change_the_final_state(spark, scratch):
 
 
 def test_rows_behind_the_watermark_are_dropped(spark, scratch):
-    s, e = split_events(spark, scratch, [3, 0])
+    s, e = split_events(spark, scratch, [3, 2, 0])  # rows are judged by the watermark of the batch before the last
     got = drain(O.rate_limit(s, "event_type", 4, "1 hour", "1 minute"), "update", ["event_type", "start_s"])
     seen = got.agg(F.sum(F.col("accepted") + F.col("rejected"))).first()[0]
-    assert seen == e.where("event_id >= 750").count()
+    assert seen == e.where("event_id >= 500").count()
 
 
 def test_alert_gate_keeps_its_state_between_batches(spark, scratch):
