@@ -93,3 +93,25 @@ def write_export(planned: DataFrame, section_rows: DataFrame, out_dir: str) -> d
         out.repartition("block_id", "z0").sortWithinPartitions("block_id", "z0", "z").write.mode("append").parquet(f"{out_dir}/sections")
         todo.write.mode("append").parquet(f"{out_dir}/manifest")
     return {"n_new": n, "n_planned": planned.count()}
+
+
+def run_model(items: DataFrame, model, schema: str, columns: list[str]) -> DataFrame:
+    """Batch inference over plan items that already carry their payload: `model` maps one pandas row to a tuple of `schema`.
+
+    A row whose model call fails is kept with state `fail`, the others with `ok`, like acknowledged chunks."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(",")]
+    types = dict(items.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                try:
+                    rows.append((*model(r), "ok"))
+                except Exception:  # noqa: BLE001 - one bad item must not end the job
+                    rows.append((*[None] * len(names), "fail"))
+            yield pd.concat([pdf[columns].reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "state"])], axis=1)
+
+    return items.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in columns) + f", {schema}, state string")

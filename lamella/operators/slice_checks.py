@@ -111,6 +111,18 @@ def with_references(positioned: DataFrame, cols: list[str], key: str = "block_id
     return positioned
 
 
+def with_boundary_sections(sections: DataFrame, blocks: DataFrame, tile: list[str], key: str = "block_id") -> DataFrame:
+    """Give every block the section just before its z range as a reference: in the chain, never scored (`reference_only`).
+
+    `blocks`: key, z_start and the XY tile columns; the section is looked up by (tile, z), so only one row per block is added."""
+    want = blocks.where("z_start > 0").select(F.col(key).alias("_next"), *tile, (F.col("z_start") - 1).alias("z"))
+    own = blocks.select(key, *tile)
+    edge = want.select(*tile, "z").distinct()
+    at_edge = spread_join(sections.where("status = 'ok'"), own, [key], position_bucket("z")).join(edge, [*tile, "z"], "left_semi")
+    extra = at_edge.drop(key).join(want, [*tile, "z"]).withColumnRenamed("_next", key).drop(*tile).withColumn("in_chain", F.lit(True)).withColumn("reference_only", F.lit(True))
+    return sections.withColumn("reference_only", F.lit(False)).unionByName(extra.select(*sections.columns, "reference_only"))
+
+
 def brightness_jump(rolled: DataFrame, span: int, config: Config | None = None, key: str = "block_id") -> DataFrame:
     """Mean grey level against the reference section; a flagged reference is stepped over once, then the walk resets."""
     c = config or Config()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import rollup as R
 from ..operators import slice_checks as S
 from ..params import CHECKS, Config, severity_label, threshold_table
+from ..session import cut_lineage
 from ..sources import tables as T
 from .registry import query, sql
 from .views import SEVERITY_SQL
@@ -138,7 +139,7 @@ def brightness_walk(spark, sf):
     return w.select("block_id", "z", F.round("brightness_jump", 6).alias("brightness_jump"), "ref_z", "note")
 
 
-@query("refchain_asof", "JN2, WIN20", sql("v_slices", ctes={
+@query("refchain_asof", "JN2", sql("v_slices", ctes={
     "pos": "SELECT *, coalesce(sum(CAST(in_chain AS INTEGER)) OVER (PARTITION BY block_id ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM v_slices",
     "ch": "SELECT block_id, k, z FROM pos WHERE in_chain"}, body="""
 SELECT p.block_id, p.z, CAST(p.k AS BIGINT) AS k, a.z AS p1_z, b.z AS p2_z, a.z IS NULL AS first_of_chain FROM pos p
@@ -228,3 +229,20 @@ SELECT b.block_id, round(CASE WHEN n_passed / CAST(n_slices AS DOUBLE) < 0.6e0 T
 def block_difficulty(spark, sf):
     b = _report(spark, sf)
     return b.select("block_id", F.round(R.difficulty(F.col("quality"), F.col("retention"), F.col("n_medium"), F.col("n_slices"), F.col("grade")), 6).alias("difficulty"))
+
+
+_EDGE = {
+    "s": "SELECT concat(block_id, '/', CAST(z // 16 AS VARCHAR)) AS sub, block_id AS tile, z // 16 AS n, z, status, in_chain FROM v_slices",
+    "ch": "SELECT sub, z FROM s WHERE in_chain UNION SELECT b.sub, s.z FROM (SELECT DISTINCT sub, tile, n FROM s) b JOIN s ON s.tile = b.tile AND s.z = b.n * 16 - 1 AND s.status = 'ok'",
+}
+
+
+@query("boundary_reference", "WIN20, JN2", sql("v_slices", ctes=_EDGE, body="""
+SELECT s.sub AS block_id, s.z, (SELECT max(ch.z) FROM ch WHERE ch.sub = s.sub AND ch.z < s.z) AS p1_z FROM s"""))
+def boundary_reference(spark, sf):
+    """Every block cut into ranges of 16 sections; the last section of a range is the first reference of the next one."""
+    n = F.floor(F.col("z") / 16).cast("long")
+    s = rolled(spark, sf).select("z", "status", "in_chain", F.col("block_id").alias("tile"), F.concat_ws("/", "block_id", n).alias("block_id"))
+    b = s.select("block_id", "tile", (n * 16).alias("z_start")).distinct()
+    r = cut_lineage(S.with_boundary_sections(s.select("block_id", "z", "status", "in_chain"), b, ["tile"]))  # read several times below
+    return S.with_references(S.chain_positions(r), []).where("NOT reference_only").select("block_id", "z", "p1_z")

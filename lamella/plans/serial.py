@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import serial_checks as Z
 from ..operators import slice_checks as S
+from ..operators.ordered import range_rows
 from ..session import cut_lineage
 from ..sources import tables as T
 from .registry import query, sql
@@ -95,10 +96,11 @@ def tile_planes(spark, sf, side: int = 64):
     """Label planes as dense image tiles of side x side pixels: block = tile, z = section."""
     p = T.pixels(spark, sf)
     ty, tx = F.floor(F.col("y") / side), F.floor(F.col("x") / side)
-    cells = p.groupBy(F.concat_ws("_", F.lit("t"), ty, tx).alias("block_id"), "z").agg(
-        F.map_from_entries(F.collect_list(F.struct(((F.col("y") % side) * side + F.col("x") % side).cast("int").alias("k"), (F.col("id") / 8.0).alias("v")))).alias("m"))  # at most side * side pixels
-    px = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return cells.select("block_id", "z", F.lit(side).alias("h"), F.lit(side).alias("w"), px.alias("px"), F.lit("ok").alias("status"), F.lit(True).alias("in_chain"))
+    cell = p.select(F.concat_ws("_", F.lit("t"), ty, tx).alias("block_id"), "z", ((F.col("y") % side) * side + F.col("x") % side).alias("k"), (F.col("id") / 8.0).alias("v"))
+    grid = range_rows(cell.select("block_id", "z").distinct(), F.lit(0), F.lit(side * side), 1, "k")
+    full = grid.join(cell, ["block_id", "z", "k"], "left").fillna(0.0, ["v"])
+    px = F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda e: e["v"])  # exactly side * side pixels
+    return full.groupBy("block_id", "z").agg(px.alias("px")).select("block_id", "z", F.lit(side).alias("h"), F.lit(side).alias("w"), "px", F.lit("ok").alias("status"), F.lit(True).alias("in_chain"))
 
 
 def registered(spark, sf):
