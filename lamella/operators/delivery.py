@@ -57,7 +57,7 @@ def export_shards(blocks: DataFrame, slices: DataFrame, min_run: int, shard_z: i
     """Shards of one export with their byte size."""
     s = split_shards(clean_runs(slices, ["block_id"], min_run, min_quality), shard_z)
     area = (F.col("y_end") - F.col("y_start")) * (F.col("x_end") - F.col("x_start"))
-    return s.join(blocks, "block_id").select("block_id", "grade", "z0", "z1", (F.col("z1") - F.col("z0")).alias("n_sections"),
+    return spread_join(s, blocks, ["block_id"], F.floor(F.col("z0") / 4096).cast("long")).select("block_id", "grade", "z0", "z1", (F.col("z1") - F.col("z0")).alias("n_sections"),
                                              ((F.col("z1") - F.col("z0")) * area * itemsize).alias("bytes"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ordinal
+from .ordered import ordinal, spread_join
 
 STATES = ("not_started", "in_progress", "pending", "approved", "changed", "returned", "fixed")
 QUEUE = ("pending", "changed")
@@ -80,7 +80,7 @@ def next_to_review(states: DataFrame, order: DataFrame, batch: str, block: str,
 
     `order`: batch_id, block_id, batch_no, block_no (positions in the overview)."""
     here = order.where((F.col("batch_id") == batch) & (F.col("block_id") == block)).select(F.col("batch_no").alias("_bt"), F.col("block_no").alias("_bl"))
-    j = states.where(F.col("reviewable")).join(order, "block_id").join(F.broadcast(here), F.lit(True))  # one row
+    j = spread_join(states.where(F.col("reviewable")), order, ["block_id"], F.floor(F.col("z") / 1024).cast("long")).join(F.broadcast(here), F.lit(True))  # one row
     same_batch, same_block = F.col("batch_no") == F.col("_bt"), F.col("block_no") == F.col("_bl")
     phase = (
         F.when(same_block & (F.col("z") > z), 0).when(same_batch & ~same_block, F.when(F.col("block_no") > F.col("_bl"), 1).otherwise(2))

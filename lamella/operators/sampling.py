@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ordinal, position_bucket
+from .ordered import ordinal, spread_join
 
 GRADES = ("A", "B", "C")
 
@@ -105,7 +105,7 @@ def sample_windows(blocks: DataFrame, windows: DataFrame, size: tuple[int, int,
     """`n` windows drawn uniformly from the allowed ones with random y / x inside the tile; with repeats only when there are fewer than `n`."""
     dz, dy, dx = size
     fit = blocks.where((F.col("y_end") - F.col("y_start") >= dy) & (F.col("x_end") - F.col("x_start") >= dx))
-    cand = windows.join(fit, "block_id")
+    cand = spread_join(windows, fit, ["block_id"], F.floor(F.col("z0") / 4096).cast("long"))
     total = cand.count()
     rounds = 1 if total >= n else (-(-n // total) if total else 0)
     draws = cand.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(max(rounds, 1) - 1))))
@@ -126,7 +126,7 @@ def raw_windows(blocks: DataFrame, windows: DataFrame, size: tuple[int, int, int
     dz, dy, dx = size
     fit = blocks.where((F.col("y_end") - F.col("y_start") >= dy) & (F.col("x_end") - F.col("x_start") >= dx))
     key = [F.col("block_id"), F.col("z0")]
-    c = windows.join(fit, "block_id").withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    c = spread_join(windows, fit, ["block_id"], F.floor(F.col("z0") / 4096).cast("long")).withColumn("_h", F.xxhash64(F.lit(seed), *key))
     c = c.withColumn("y0", random_offset(seed + 1, F.col("y_start"), F.col("y_end") - dy + 1, *key)).withColumn("x0", random_offset(seed + 2, F.col("x_start"), F.col("x_end") - dx + 1, *key))
     cell = [F.floor(F.col(a) / max(1, d // 2)).alias(f"_{a}") for a, d in (("z0", dz), ("y0", dy), ("x0", dx))]
     first = c.groupBy("block_id", *cell).agg(F.min(F.struct("_h", "z0", "y0", "x0", "grade")).alias("f"))

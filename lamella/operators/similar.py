@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import exact_percentiles
+from ..session import cut_lineage
+from .ordered import exact_percentiles, spread_join
 
 # fixed values: statistic features and how each is transformed; the last group counts as 0 where absent
 LINEAR = ("mean", "std", "p1", "p50", "p99", "frac_low_sat", "frac_high_sat", "frac_mode", "entropy_bits", "frac_fill", "n_fill_components", "fill_largest_frac", "fill_span")
@@ -111,22 +112,35 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, n_pivots: int = 32,
     pc = points.select("pid", "grp", "fv").mapInPandas(_assign(pv), "pid long, grp string, fv array<double>, cell int, d_pivot double")
     qc = queries.select("qid", "grp", "fv").mapInPandas(_assign(pv), "qid long, grp string, fv array<double>, cell int, d_pivot double")
     cells = {r["cell"]: (r["n"], r["r"]) for r in pc.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d_pivot").alias("r")).collect()}  # one row per pivot
-    n_q = queries.count()
-    q_chunks = max(1, -(-n_q // chunk))
+    q_cells = {r["cell"]: r["count"] for r in qc.groupBy("cell").count().collect()}  # one row per pivot
     chunks = F.create_map(*[x for c, (n, _) in cells.items() for x in (F.lit(c), F.lit(max(1, -(-n // chunk))))])
     pc = pc.withColumn("part", F.pmod(F.xxhash64("pid"), F.element_at(chunks, F.col("cell"))).cast("int"))
-    pc = pc.withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(q_chunks - 1))))
-    qc = qc.withColumn("qpart", F.pmod(F.xxhash64("qid"), F.lit(q_chunks)).cast("int"))
+    # queries of neighbouring cells travel together, about `chunk` per part; a cell with more is split
+    parts, first, room = {}, 0, chunk
+    for c, n in sorted(q_cells.items()):
+        if n > chunk:
+            first += room < chunk
+            parts[c] = (first, -(-n // chunk))
+            first, room = first + parts[c][1], chunk
+        else:
+            if n > room:
+                first, room = first + 1, chunk
+            parts[c], room = (first, 1), room - n
+    base = F.create_map(*[x for c, (f, _) in (parts or {0: (0, 1)}).items() for x in (F.lit(c), F.lit(f))])
+    split = F.create_map(*[x for c, (_, m) in (parts or {0: (0, 1)}).items() for x in (F.lit(c), F.lit(m))])
+    qc = qc.withColumn("qpart", (F.element_at(base, F.col("cell")) + F.pmod(F.xxhash64("qid"), F.element_at(split, F.col("cell")))).cast("long"))
 
     def visit(q):  # q has a `cell` to visit
         q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("cell")) - 1)))
-        keys = ["cell", "part", "qpart"]
-        return pc.groupBy(*keys).cogroup(q.select("qid", "grp", "fv", *keys).groupBy(*keys)).applyInPandas(_top(k), "qid long, pid long, distance double")
+        q = q.select("qid", "grp", "fv", F.col("cell").alias("w_cell"), F.col("part").alias("w_part"), F.col("qpart").alias("w_qpart"))
+        visits = q.select(F.col("w_cell").alias("cell"), F.col("w_part").alias("part"), F.col("w_qpart").alias("qpart")).distinct()
+        p = pc.join(visits, ["cell", "part"])  # points go only where some query of the chunk wants them
+        return p.groupBy("cell", "part", "qpart").cogroup(q.groupBy("w_cell", "w_part", "w_qpart")).applyInPandas(_top(k), "qid long, pid long, distance double")
 
     def best(df):  # k smallest per query, never more than k per chunk enter
         return df.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "pid"))), 1, k).alias("b"))
 
-    own = best(visit(qc.where(F.col("cell").isin(list(cells)))))
+    own = cut_lineage(best(visit(qc.where(F.col("cell").isin(list(cells))))))  # at most k rows per query, read twice
     bound = qc.join(own, "qid", "left").withColumn("theta", F.when(F.size("b") >= k, F.element_at("b", k)["distance"]).otherwise(F.lit(float("inf"))))
     ids = sorted(cells)
 
@@ -143,7 +157,7 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, n_pivots: int = 32,
             at = [r[0] for r in rows]
             yield pdf.iloc[at][["qid", "grp", "fv", "qpart"]].assign(cell=np.array([r[1] for r in rows], dtype="int32"))
 
-    far = bound.select("qid", "grp", "fv", "qpart", "cell", "theta").mapInPandas(others, "qid long, grp string, fv array<double>, qpart int, cell int")
+    far = bound.select("qid", "grp", "fv", "qpart", "cell", "theta").mapInPandas(others, "qid long, grp string, fv array<double>, qpart long, cell int")
     near = own.select("qid", F.explode("b").alias("e")).select("qid", F.col("e.pid").alias("pid"), F.col("e.distance").alias("distance"))
     top = best(near.unionByName(visit(far)))
     return top.select("qid", F.posexplode("b").alias("rank", "e")).select("qid", F.col("e.pid").alias("pid"), F.col("e.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
@@ -158,7 +172,9 @@ def precision_at_k(neighbours: DataFrame, labels: DataFrame, k: int) -> DataFram
     own = labels.groupBy("class", "grp").agg(F.count(F.lit(1)).alias("_own"))
     q = labels.join(F.broadcast(per), "class").join(own, ["class", "grp"]).select(
         F.col("id").alias("qid"), F.col("class").alias("qclass"), F.least(F.lit(k), F.col("_n") - F.col("_own")).alias("k_eff"), "_n")
-    hits = neighbours.join(q, "qid").where(F.col("rank") <= F.col("k_eff")).join(labels.select(F.col("id").alias("pid"), "class"), "pid")
+    mine = neighbours.join(q, "qid").where(F.col("rank") <= F.col("k_eff"))
+    # some points are neighbours of very many queries
+    hits = spread_join(mine, labels.select(F.col("id").alias("pid"), "class"), ["pid"], F.pmod(F.xxhash64("qid"), F.lit(64)))
     rate = hits.groupBy("qid", "qclass", "_n").agg((F.count_if(F.col("class") == F.col("qclass")) / F.count(F.lit(1))).alias("rate"))
     out = rate.groupBy(F.col("qclass").alias("class")).agg(F.count(F.lit(1)).alias("n_queries"), F.avg("rate").alias("precision"), F.max("_n").alias("_n"))
     base = F.col("_n") / float(max(total - 1, 1))

@@ -49,7 +49,7 @@ def candidate_windows(windows: DataFrame, blocks: DataFrame, size: tuple[int, in
     dz, dy, dx = size
     fit = blocks.where((F.col("y_end") - F.col("y_start") >= dy) & (F.col("x_end") - F.col("x_start") >= dx))
     key = [F.col("block_id"), F.col("z0"), F.col("_round")]
-    cand = windows.join(fit, "block_id")
+    cand = spread_join(windows, fit, ["block_id"], F.floor(F.col("z0") / 4096).cast("long"))
     rounds = max(1, -(-budget // max(1, cand.count())))
     c = cand.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), *key))
     c = c.withColumn("y0", random_offset(seed + 1, F.col("y_start"), F.col("y_end") - dy + 1, *key)).withColumn("x0", random_offset(seed + 2, F.col("x_start"), F.col("x_end") - dx + 1, *key))
@@ -115,14 +115,17 @@ def proofreading(scored: DataFrame, n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("disagreement").desc(), "window_id")))  # at most n rows
 
 
-def mask_component_windows(labelled: DataFrame, mask_px: DataFrame, windows: DataFrame, blocks: DataFrame, size: tuple[int, int, int], n: int, min_mask: float = 0.002, dedupe: int = 16) -> DataFrame:
+def mask_component_windows(labelled: DataFrame, mask_px: DataFrame, windows: DataFrame, blocks: DataFrame, size: tuple[int, int, int], n: int, min_mask: float = 0.002, dedupe: int = 16, cell: int = 1024) -> DataFrame:
     """Windows centred on mask components of an allowed window's centre section, largest first.
 
     `labelled` holds (block_id, z, y, x, component) in block coordinates of the same frame as `blocks`."""
     dz, dy, dx = size
-    c = component_stats(labelled)
-    zs = windows.select((F.col("z0") + dz // 2).alias("z"), "block_id", "z0")
-    cand = c.join(zs, "z").join(blocks, "block_id")
+    at = lambda v: F.floor(v / cell).cast("long")  # noqa: E731 - a component meets the blocks of its own grid cell only
+    c = component_stats(labelled).withColumn("_gy", at(F.col("my"))).withColumn("_gx", at(F.col("mx")))
+    zs = spread_join(windows.select((F.col("z0") + dz // 2).alias("z"), "block_id", "z0"), blocks, ["block_id"], F.floor(F.col("z0") / 4096).cast("long"))
+    for a in "yx":
+        zs = zs.withColumn(f"_g{a}", F.explode(F.sequence(at(F.col(f"{a}_start")), at(F.col(f"{a}_end") - 1))))
+    cand = c.join(zs, ["z", "_gy", "_gx"])
     inside = (F.col("my") >= F.col("y_start")) & (F.col("my") < F.col("y_end")) & (F.col("mx") >= F.col("x_start")) & (F.col("mx") < F.col("x_end"))
     y0 = clamp(F.col("my") - dy / 2, F.col("y_start"), F.col("y_end") - dy)
     x0 = clamp(F.col("mx") - dx / 2, F.col("x_start"), F.col("x_end") - dx)

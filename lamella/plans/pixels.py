@@ -76,7 +76,7 @@ def mask_component_windows(spark, sf):
 
     p = T.pixels(spark, sf).where("id <= 4").select("z", "y", "x")
     b = _plane_blocks(spark, sf)
-    return W.mask_component_windows(C.label_components(p, 4), p, allowed_windows(b, None, 3), b, (3, 32, 32), 100).select("block_id", "z0", "y0", "x0", "component_px", "mask_frac")
+    return W.mask_component_windows(C.label_components(p, 4), p, allowed_windows(b, None, 3), b, (3, 32, 32), 100, cell=128).select("block_id", "z0", "y0", "x0", "component_px", "mask_frac")
 
 
 @query("downsample", "ALG21", sql("v_pixels", body="SELECT z, y // 5 AS y, x // 5 AS x, round(sum(id) / 25e0 / 255e0, 8) AS v FROM v_pixels WHERE y < 255 AND x < 255 GROUP BY 1, 2, 3"))
