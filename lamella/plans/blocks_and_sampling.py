@@ -145,8 +145,10 @@ def _holdout_input(spark, sf):
     "g": "SELECT *, a0 - greatest(0, a0 + b0 + c0 - n) AS a1 FROM f",
     "h": "SELECT *, n - a1 - b0 - c0 AS short FROM g",
     # remainders: val and test tie, val first; train leads when its fraction is at least theirs
-    "tg": """SELECT dataset_id, a1 + CASE WHEN (CASE WHEN fa >= fb THEN 0 ELSE 2 END) < short THEN 1 ELSE 0 END - htr AS dtr,
-        b0 + CASE WHEN (CASE WHEN fa >= fb THEN 1 ELSE 0 END) < short THEN 1 ELSE 0 END - hva AS dva, c0 + CASE WHEN (CASE WHEN fa >= fb THEN 2 ELSE 1 END) < short THEN 1 ELSE 0 END - hte AS dte FROM h""",
+    # fewer than three eligible blocks: everything is train
+    "tg": """SELECT dataset_id, CASE WHEN n < 3 THEN n ELSE a1 + CASE WHEN (CASE WHEN fa >= fb THEN 0 ELSE 2 END) < short THEN 1 ELSE 0 END END - htr AS dtr,
+        CASE WHEN n < 3 THEN 0 ELSE b0 + CASE WHEN (CASE WHEN fa >= fb THEN 1 ELSE 0 END) < short THEN 1 ELSE 0 END END - hva AS dva,
+        CASE WHEN n < 3 THEN 0 ELSE c0 + CASE WHEN (CASE WHEN fa >= fb THEN 2 ELSE 1 END) < short THEN 1 ELSE 0 END END - hte AS dte FROM h""",
     "newb": "SELECT dataset_id, block_id, row_number() OVER (PARTITION BY dataset_id ORDER BY sha1(concat('42:', block_id)), block_id) AS rn FROM st WHERE state = 'new'",
     "walk": """SELECT dataset_id, CAST(0 AS BIGINT) AS rn, dtr, dva, dte, CAST('' AS VARCHAR) AS pick FROM tg
       UNION ALL SELECT w.dataset_id, w.rn + 1, w.dtr - CASE WHEN p.pick = 'train' THEN 1 ELSE 0 END, w.dva - CASE WHEN p.pick = 'val' THEN 1 ELSE 0 END, w.dte - CASE WHEN p.pick = 'test' THEN 1 ELSE 0 END, p.pick
