@@ -1,8 +1,8 @@
 """Packing token ids into sequences by multiway differencing (Karmarkar and Karp).
 
 A document is its ids and one end id. Whole windows are cut off its front; what is left is cut into pieces of at most `grain` ids.
-A task pools pieces until they fill `windows` sequences but for a margin, then splits the pool by differencing: partial partitions
-wait in a heap, keyed by the imbalance between their fullest and emptiest window; the two with the largest imbalances are merged so
+A task pools pieces until they fill `windows` sequences but for a margin. The last 1/32 of a pool is cut into pieces of `fine` ids, which
+level what the large ones leave uneven. The pool is split by differencing: partial partitions wait in a heap, keyed by the imbalance between their fullest and emptiest window; the two with the largest imbalances are merged so
 that the full windows of one meet the empty windows of the other. If a window comes out above the capacity, the split is
 made anew with one window more. Pools are local to a task and of fixed size; nothing is shuffled and no key gathers rows.
 
@@ -59,8 +59,9 @@ def fit(sizes: list[int], capacity: int) -> list[list[int]]:
 class Packer:
     """Packs the documents of one task; rows are (doc number, start, length, sequence, offset)."""
 
-    def __init__(self, capacity: int, windows: int, grain: int, margin: int):
-        self.capacity, self.full, self.grain = capacity, windows * (capacity - margin), grain
+    def __init__(self, capacity: int, windows: int, grain: int, fine: int, margin: int):
+        self.capacity, self.full, self.grain, self.fine = capacity, windows * (capacity - margin), grain, fine
+        self.coarse = self.full - self.full // 32
         self.pool: list[tuple] = []
         self.held, self.next = 0, 0
 
@@ -71,13 +72,24 @@ class Packer:
             self.next += 1
             start += self.capacity
         while start < total:
-            n = min(self.grain, total - start, self.full - self.held)
+            most, room = (self.grain, self.coarse) if self.held < self.coarse else (self.fine, self.full)
+            n = min(most, total - start, room - self.held)
             self.pool.append((doc, start, n))
             self.held += n
             start += n
             if self.held == self.full:
                 yield from self.flush()
 
+    def rest(self):
+        """The last, unfilled pool; its last pieces are made fine as well."""
+        pool, self.pool, fine = self.pool, [], self.held // 32
+        while pool and fine > 0:
+            doc, start, n = pool.pop()
+            self.pool += [(doc, start + k, min(self.fine, n - k)) for k in range(0, n, self.fine)]
+            fine -= n
+        self.pool = pool + self.pool
+        yield from self.flush()
+
     def flush(self):
         for window in fit([p[2] for p in self.pool], self.capacity):
             offset = 0
@@ -89,16 +101,16 @@ class Packer:
         self.pool, self.held = [], 0
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, windows: int = 16, grain: int = 128, margin: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, windows: int = 32, grain: int = 256, fine: int = 4, margin: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    if not 0 < grain <= capacity or not 0 <= margin < capacity:
-        raise ValueError("0 < grain <= capacity and 0 <= margin < capacity")
+    if not 0 < fine <= grain <= capacity or not 0 <= margin < capacity:
+        raise ValueError("0 < fine <= grain <= capacity and 0 <= margin < capacity")
     kind = docs.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, packer = encoder(path, "byte"), Packer(capacity, windows, grain, margin)
+        enc, packer = encoder(path, "byte"), Packer(capacity, windows, grain, fine, margin)
         first = TaskContext.get().partitionId() * TASK_RANGE
         names = [f.split(" ")[0] for f in schema.split(", ")]
         key_type = None
@@ -116,7 +128,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, wind
                 ids = enc.encode(part.column(1).to_pylist())
                 yield made([p for k, i in zip(part.column(0).to_pylist(), ids, strict=True) for p in packer.add((k, i + end), len(i) // 4 + 1)])
         if packer.pool:
-            yield made(packer.flush())
+            yield made(packer.rest())
 
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
