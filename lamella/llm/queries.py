@@ -3,16 +3,24 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op4_packing, op9_bpe_automaton, op10_token_store
+from . import op1_toxicity, op4_packing, op7_quality_votes, op9_bpe_automaton, op10_token_store
 from .text import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_toxicity_query(spark, sf_dir):
+    return op1_toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing_query(spark, sf_dir):
     return op4_packing.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_quality_query(spark, sf_dir):
+    return op7_quality_votes.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_query(spark, sf_dir):
     return op9_bpe_automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -22,7 +30,9 @@ def op10_token_store_query(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": (op1_toxicity_query, None),
     "op4_packing": (op4_packing_query, None),
+    "op7_quality_votes": (op7_quality_query, None),
     "op9_bpe_automaton": (op9_bpe_query, None),
     "op10_token_store": (op10_token_store_query, None),
 }
