@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op1_toxicity, op3_substring_dedup, op4_packing, op7_quality_votes, op9_bpe_automaton, op10_token_store
+from . import op1_toxicity, op3_substring_dedup, op4_packing, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store
 from .text import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op7_quality_query(spark, sf_dir):
     return op7_quality_votes.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_odd_sketch_query(spark, sf_dir):
+    return op8_odd_sketch.components_of(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_query(spark, sf_dir):
     return op9_bpe_automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_substring_dedup": (op3_substring_query, op3_substring_dedup.ORACLE),
     "op4_packing": (op4_packing_query, None),
     "op7_quality_votes": (op7_quality_query, None),
+    "op8_odd_sketch": (op8_odd_sketch_query, op8_odd_sketch.ORACLE),
     "op9_bpe_automaton": (op9_bpe_query, None),
     "op10_token_store": (op10_token_store_query, None),
 }
