@@ -1,11 +1,17 @@
-"""Connected components of a graph in a table."""
+"""Links between documents that share buckets, and connected components, in tables."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+#: Documents whose ids may be broadcast to pick their texts (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """`edges` (a, b) -> node, component: the smallest node that can be reached. Large and small stars in turn until nothing changes;
@@ -25,3 +31,33 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def linked_in_buckets(rows: DataFrame, prepare: Callable[[DataFrame], tuple]) -> DataFrame:
+    """node, component of the documents that links connect. `rows`: band, doc, one per document and band. `prepare` gets the documents that
+    meet any other (column doc) and returns two functions on pairs (a, b): one that screens, one that confirms.
+
+    First every member of a bucket meets one centre: the member that meets most others over all buckets; in a group of copies that is
+    the text they were made of, so this links most of the group. Then, in buckets that still hold several components, members
+    outside the centre's component meet the members of other components. Every pair of a bucket is thus either
+    tried or linked through others. Centres and members come together in joins whose large partitions may be split."""
+    multi = cut_lineage(rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band").select("band", "doc", "n"))
+    meet = multi.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("weight")).persist(StorageLevel.DISK_ONLY)
+    ids = meet.select("doc")
+    screen, confirm = prepare(F.broadcast(ids) if meet.count() <= BROADCAST_IDS else ids)
+    weighed = multi.select("band", "doc").join(meet, "doc")
+    centre = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc")).alias("minus"))).alias("c")).select("band", (-F.col("c.minus")).alias("centre"))
+    first = multi.select("band", "doc").join(centre, "band").where("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
+    tried = cut_lineage(screen(first))
+    edges = cut_lineage(confirm(tried))
+    part = components(edges)
+    placed = multi.select("band", "doc").join(centre, "band").join(part.toDF("doc", "own"), "doc", "left").join(part.toDF("centre", "mid"), "centre", "left")
+    placed = cut_lineage(placed.select("band", "doc", "centre", F.coalesce("own", "doc").alias("own"), F.coalesce("mid", "centre").alias("mid")))
+    meet.unpersist()
+    outside = placed.where("own <> mid")
+    others = placed.where("doc <> centre").join(outside.select("band").distinct(), "band", "left_semi").select("band", F.col("doc").alias("y"), F.col("own").alias("yc"))
+    second = outside.select("band", F.col("doc").alias("x"), F.col("own").alias("xc")).join(others, "band").where("xc <> yc")
+    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cut_lineage(confirm(screen(second).join(done, ["a", "b"], "left_anti")))
+    return part if more.isEmpty() else components(edges.unionByName(more))

@@ -6,9 +6,7 @@ meet in a bucket. The odd sketch folds the k values into a bitmap of parities; t
 estimate how many of the values differ, most exactly where sets are alike, so pairs far below the limit never reach their texts.
 What passes is confirmed on the full sets.
 
-Buckets are not compared all against all. First every member meets one centre, the member that shares most buckets (in a group of copies the
-text that the copies were made of). Then, in buckets that still hold more than one component, members outside of the
-centre's component meet the members of other components. So a group of n copies costs about n comparisons, and every pair of
+Buckets are not compared all against all, see graph.linked_in_buckets: a group of n copies costs about n comparisons, and every pair of
 a bucket is either compared or linked through others. Bands miss a pair of exactly the limit with probability below 1e-4.
 
 A text without words has an empty set and is linked with nothing. Rows that share a key count as one document that is linked with what any
@@ -21,17 +19,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .graph import components
+from .graph import linked_in_buckets
 from .text import SLICE, mix, shingles, words
 
 K, BITS, BANDS, ROWS = 128, 512, 56, 6
-#: Documents whose ids may be broadcast to pick their texts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -152,33 +147,15 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_i
     some = seen.where("n > 0 AND doc IS NOT NULL")
     classes = some.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
     reps = some.join(classes, ["d1", "d2"]).where("doc = rep").dropDuplicates(["d1", "d2"]).select("doc", "sig", "sketch")
-    bands = band_rows(reps)
-    multi = cut_lineage(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band").select("band", "doc", "n"))
-    meet = multi.groupBy("doc").agg(F.sum(F.col("n") - 1).alias("weight"))
-    meet = meet.persist(StorageLevel.DISK_ONLY)
-    ids = meet.select("doc")
-    wanted = F.broadcast(ids) if meet.count() <= BROADCAST_IDS else ids
-    texts = cut_lineage(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).join(wanted, "doc", "left_semi"))
-    sketches = cut_lineage(reps.select("doc", "sketch").join(wanted, "doc", "left_semi"))
-    weighed = multi.select("band", "doc").join(meet, "doc")
-    centre = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc")).alias("minus"))).alias("c")).select("band", (-F.col("c.minus")).alias("centre"))
-    first = multi.select("band", "doc").join(centre, "band").where("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
-    tried = cut_lineage(_alike(first, sketches, percent))
-    edges = cut_lineage(_confirmed(tried, texts, width, percent))
-    part = components(edges)
-    placed = cut_lineage(multi.select("band", "doc").join(centre, "band").join(part.toDF("doc", "own"), "doc", "left").join(part.toDF("centre", "mid"), "centre", "left")
-                         .select("band", "doc", "centre", F.coalesce("own", "doc").alias("own"), F.coalesce("mid", "centre").alias("mid")))
-    outside = placed.where("own <> mid")
-    rest = placed.where("doc <> centre").join(outside.select("band").distinct(), "band", "left_semi")
-    second = outside.select("band", F.col("doc").alias("x"), F.col("own").alias("xc")).join(rest.select("band", F.col("doc").alias("y"), F.col("own").alias("yc")), "band").where("xc <> yc")
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _alike(second, sketches, percent).join(done, ["a", "b"], "left_anti")
-    more = cut_lineage(_confirmed(second, texts, width, percent))
-    final = components(edges.unionByName(more)) if not more.isEmpty() else part
+
+    def prepare(wanted):
+        texts = cut_lineage(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).join(wanted, "doc", "left_semi"))
+        sketches = cut_lineage(reps.select("doc", "sketch").join(wanted, "doc", "left_semi"))
+        return lambda pairs: _alike(pairs, sketches, percent), lambda pairs: _confirmed(pairs, texts, width, percent)
+
+    final = linked_in_buckets(band_rows(reps), prepare)
     member = seen.where("doc IS NOT NULL").join(classes, ["d1", "d2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc")).otherwise(F.col("doc")).alias("rep"))
     nulls = seen.where("doc IS NULL").select("doc", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
-    meet.unpersist()
     out = member.join(final.toDF("rep", "component"), "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     return out.unionByName(nulls)
 

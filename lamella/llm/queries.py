@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op1_toxicity, op3_substring_dedup, op4_packing, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store
+from . import op1_toxicity, op2_fingerprint, op3_substring_dedup, op4_packing, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store
 from .text import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -13,6 +13,10 @@ def op1_toxicity_query(spark, sf_dir):
     return op1_toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprint_query(spark, sf_dir):
+    return op2_fingerprint.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_query(spark, sf_dir):
     return op3_substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_token_store_query(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": (op1_toxicity_query, None),
+    "op2_fingerprint": (op2_fingerprint_query, None),
     "op3_substring_dedup": (op3_substring_query, op3_substring_dedup.ORACLE),
     "op4_packing": (op4_packing_query, None),
     "op7_quality_votes": (op7_quality_query, None),

@@ -1,10 +1,11 @@
 """Shared helpers: tables, words, word hashes, bounded memos."""
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows taken from an Arrow batch at a time, so that what Python holds stays small whatever the batch size is.
 SLICE = 256
@@ -57,22 +58,22 @@ def shingles(ws: list[bytes], width: int) -> np.ndarray:
 
 
 class Memo(dict):
-    """A mapping that computes what it lacks and holds two generations of at most `cap` entries each."""
+    """A mapping from strings that computes what it lacks and holds two generations of at most `cap` entries; keys of over 64 characters
+    are not held."""
 
     def __init__(self, make, cap: int = 250_000):
         super().__init__()
         self.make, self.cap, self.old = make, cap, {}
+        gc.set_threshold(200_000, 50, 100)  # the entries are no containers; scanning them over and over would cost more than the work
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > 64:
+                return value
         if len(self) >= self.cap:
             self.old = dict(self)
             self.clear()
         self[key] = value
         return value
-
-
-def null_as_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
