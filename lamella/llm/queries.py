@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op1_toxicity, op2_fingerprint, op3_substring_dedup, op4_packing, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store
+from . import op1_toxicity, op2_fingerprint, op3_substring_dedup, op4_packing, op5_warc, op6_chat, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store
 from .text import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -25,6 +25,14 @@ def op4_packing_query(spark, sf_dir):
     return op4_packing.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_warc_query(spark, sf_dir):
+    return op5_warc.digests(table(spark, sf_dir, "pages"))
+
+
+def op6_chat_query(spark, sf_dir):
+    return op6_chat.digests(table(spark, sf_dir, "conversations"))
+
+
 def op7_quality_query(spark, sf_dir):
     return op7_quality_votes.verdicts(table(spark, sf_dir, "documents"))
 
@@ -46,6 +54,8 @@ QUERIES = {
     "op2_fingerprint": (op2_fingerprint_query, None),
     "op3_substring_dedup": (op3_substring_query, op3_substring_dedup.ORACLE),
     "op4_packing": (op4_packing_query, None),
+    "op5_warc": (op5_warc_query, op5_warc.ORACLE),
+    "op6_chat": (op6_chat_query, op6_chat.ORACLE),
     "op7_quality_votes": (op7_quality_query, None),
     "op8_odd_sketch": (op8_odd_sketch_query, op8_odd_sketch.ORACLE),
     "op9_bpe_automaton": (op9_bpe_query, None),
