@@ -7,14 +7,15 @@ where v led. All arcs of one token lead to one state, so a state is named by the
 the arc it takes away and its number; whether a state still has an arc follows from these marks and is put into the transition
 table on first use.
 
-A pre-split word is encoded left to right: `last[j]` is the token that ends the encoding of the first j bytes, and exactly one token
-that ends at j continues a shorter prefix along an arc. Decoding emits the byte labels of the arcs.
+A pre-split word is encoded by walking from state to state: exactly one walk spells the word. Decoding emits the byte labels of the arcs.
 
 Nulls and empty texts have no ids and decode to the empty text. Text is never cut. Repeated rows are encoded each on its own.
 """
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,17 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import SLICE, Memo
-from .tokens import space_pieces
+from .tokens import byte_letters, space_pieces
 
 TABLE_CAP = 400_000
-
-
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others,
-    in order, for the code points from 256 on."""
-    plain = [chr(b).isprintable() and chr(b) != " " for b in range(256)]
-    free = iter(range(256, 512))
-    return [chr(b) if plain[b] else chr(next(free)) for b in range(256)]
+#: Pieces whose pre-tokens are plain to see: Latin letters after a space or none, then marks that are neither letter nor digit.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:*$%&#|]*)")
 
 
 class Automaton:
@@ -63,11 +58,15 @@ class Automaton:
         for t, number in self.birth.items():
             if self._has_arc(self.left[t], self.right[t], number):
                 self.ids[self.label[t]] = t
-        by_end: dict[int, set[int]] = {}
-        for s in self.ids:
-            by_end.setdefault(s[-1], set()).add(len(s))
-        self.lengths = {b: sorted(n, reverse=True) for b, n in by_end.items()}
-        self.words = Memo(self._word)
+        sizes: dict[bytes, set[int]] = {}
+        for spelled in self.ids:
+            if len(spelled) >= 4:
+                sizes.setdefault(spelled[:4], set()).add(len(spelled))
+        by_start = {start: (*sorted(found, reverse=True), 3, 2, 1) for start, found in sizes.items()}
+        self.lengths = lambda start: by_start.get(start, (3, 2, 1))
+        self.added_texts = [c.decode() for c in self.added.values()]
+        self.cores = Memo(self._core, 100_000)
+        self.words = Memo(lambda piece: self._word(" " + piece), 300_000)
 
     def _has_arc(self, state: int, token: int, until: int) -> bool:
         """Does the state that `state` leads to have a `token` arc before gadget `until`? It lost the arc if a gadget took it, or took
@@ -98,28 +97,41 @@ class Automaton:
         return known
 
     def word(self, b: bytes) -> list[int]:
-        """Ids of one pre-split word."""
-        last, back = [-1] * (len(b) + 1), [0] * (len(b) + 1)
-        ids, arc = self.ids, self.arc
-        for j in range(1, len(b) + 1):
-            for n in self.lengths[b[j - 1]]:
-                i = j - n
-                if i < 0:
-                    continue
-                t = ids.get(b[i:j])
-                if t is not None and (i == 0 or arc(last[i], t)):
-                    last[j], back[j] = t, i
+        """Ids of one pre-split word: walk along arcs, longest token first. A pair of place and last token from which no walk reached
+        the end is not tried again, so the steps stay in proportion to the word."""
+        ids, arc, n = self.ids, self.arc, len(b)
+        whole = ids.get(b)
+        if whole is not None:
+            return [whole]
+        lengths, dead = self.lengths, set()
+        path, ends, tries, at = [], [0], [iter(lengths(b[:4]))], 0
+        while at < n:
+            for size in tries[-1]:
+                t = ids.get(b[at : at + size]) if at + size <= n else None
+                if t is not None and (not path or arc(path[-1], t)) and (at + size, t) not in dead:
+                    path.append(t)
+                    at += size
+                    ends.append(at)
+                    tries.append(iter(lengths(b[at : at + 4])))
                     break
             else:
-                raise ValueError("the vocabulary lacks a byte")
-        out, j = [], len(b)
-        while j:
-            out.append(last[j])
-            j = back[j]
-        return out[::-1]
+                if not path:
+                    raise ValueError("the vocabulary lacks a byte")
+                dead.add((at, path.pop()))
+                ends.pop()
+                tries.pop()
+                at = ends[-1]
+        return path
+
+    def _core(self, part: str) -> bytes:
+        return array("i", self.word(part.encode())).tobytes()
 
     def _word(self, piece: str) -> bytes:
         """Ids of one piece between spaces, as little-endian 32-bit integers: special tokens out, pre-split, then the automaton."""
+        plain = _PLAIN.fullmatch(piece)
+        if plain and not any(c in piece for c in self.added_texts):
+            head, tail = plain.groups()
+            return self.cores[head] + self.cores[tail] if tail else self.cores[head]
         out: list[int] = []
         for part, special in self._cut_specials(piece):
             if special is not None:
@@ -127,7 +139,7 @@ class Automaton:
             else:
                 for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part):
                     out += self.word(self._bytes(w))
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def _bytes(self, letters: str) -> bytes:
         return letters.translate(_BACK).encode("latin-1")
@@ -146,7 +158,10 @@ class Automaton:
         yield from self._cut_specials(piece[at - minus :])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, space_pieces(text))) if text else b""
+        if not text:
+            return b""
+        pieces = space_pieces(text)
+        return self._word(pieces[0]) + b"".join(map(self.words.__getitem__, pieces[1:]))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
