@@ -77,3 +77,19 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of `df` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def columns(df: DataFrame, *without: str) -> list:
+    """Columns of `df` but those named."""
+    return [df[f"`{c}`"] for c in df.columns if c not in without]
