@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Memo
+from .text import Memo, fresh
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -265,7 +265,8 @@ def learnable(labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, below: float = 0.7) -> DataFrame:
     """The documents that score below `below`. Same columns as `docs`."""
     score = scorer(docs.sparkSession, fit(docs, learnable(labels)))
-    return docs.withColumn("_s", score(F.col("text").cast("string"))).where(F.col("_s.score") < below).drop("_s")
+    (made,) = fresh(docs, "scored")
+    return docs.withColumn(made, score(F.col("text").cast("string"))).where(F.col(f"{made}.score") < below).drop(made)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .storage import stored
+from .text import fresh
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -147,24 +148,21 @@ def base_failed(prefix: str = "s") -> Column:
     return (F.col(f"{prefix}.n_words") < 10) | (100 * F.col(f"{prefix}.n_repeat_words") > 20 * F.col(f"{prefix}.n_words"))
 
 
-def scored(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with struct `_s` of statistics, and `_quality`, the posterior of good. Reads the texts twice and shuffles none."""
-    coded = docs.withColumn("_s", stats(F.col(text).cast("string"))).withColumn("pattern_", pattern("_s"))
-    seen = coded.select(F.col("pattern_").alias("pattern")).groupBy("pattern").count().orderBy("pattern").collect()
-    codes = np.array([r["pattern"] for r in seen], np.int64)
-    model = fit(codes, np.array([r["count"] for r in seen], float))
-    known = posterior_table(docs.sparkSession, model, codes).toDF("pattern_", "_quality")
-    return coded.join(F.broadcast(known), "pattern_", "left").drop("pattern_")  # at most 3 ** rules rows
-
-
 def keep(docs: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents that pass: base rules hold and the posterior is at least `least`. Same columns as `docs`."""
-    return scored(docs, text).where(~base_failed("_s") & (F.col("_quality") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass: base rules hold and the posterior of good is at least `least`. Same columns as `docs`. Reads the texts
+    twice, for the fit and for the verdict, and shuffles none."""
+    s, p, q = fresh(docs, "stats", "pattern", "posterior")
+    coded = docs.withColumn(s, stats(F.col(text).cast("string"))).withColumn(p, pattern(s))
+    seen = coded.groupBy(p).count().orderBy(p).collect()  # at most 3 ** rules rows
+    codes = np.array([r[0] for r in seen], np.int64)
+    model = fit(codes, np.array([r[1] for r in seen], float))
+    out = coded.join(F.broadcast(posterior_table(docs.sparkSession, model, codes).toDF(p, q)), p, "left")
+    return out.where(~base_failed(s) & (F.col(q) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def verdicts(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The contract's row per document."""
-    coded = cut_lineage(docs.select("doc_id", stats(F.col("text").cast("string")).alias("s")).withColumn("pattern", pattern("s")))
+    coded = stored(docs.select("doc_id", stats(F.col("text").cast("string")).alias("s")).withColumn("pattern", pattern("s")))
     model = fitted(coded)
     codes = np.array([r[0] for r in coded.select("pattern").distinct().collect()], np.int64)
     out = coded.join(F.broadcast(posterior_table(docs.sparkSession, model, codes)), "pattern", "left")

@@ -4,14 +4,45 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that spark.checkpoint.dir names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """`df` written as a compressed table in the shared folder and read again: computed once, its lineage cut, safe from lost executors."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the folders that this process has made; results that read from them must be written before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(ids: DataFrame) -> bool:
+    """Can the ids be broadcast?"""
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
+def picked(rows: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that have one of the ids, which are broadcast if they are few, else joined by a shuffle."""
+    return rows.join(F.broadcast(ids) if few(ids) else ids, on, "left_semi")
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
