@@ -4,28 +4,30 @@ A passage of `length` words can only repeat if its shorter windows do. The first
 times) and of these, in each passage, only the one with the smallest hash: equal passages choose equal windows, so a few percent of
 the windows are shuffled and no repeat is missed. Windows that two documents share survive. Each further level extends the survivors to
 twice the length (at most `length`): a longer window is a candidate if the survivors of the level before cover what it needs,
-its hash goes out with its document, and it survives if another document has it. The last level finds, for each passage, the smallest
-document that has it; a document loses the words of those passages that a smaller document has. It ends early when no candidate survives.
-
-Hashes of the last level have 128 bits, of the levels before 64 (a false survivor there only costs work). Counting which documents share a
-window is done with partial aggregates (smallest and largest document), so a passage that a third of all documents have is reduced before
-it is shuffled; the survivors return to their rows by a join whose large partitions may be split. Windows are judged on
-the input, not on what is left.
-
-Nulls and empty texts have no words. Of rows with the same key (or without one, these count as the largest) the windows count as of one
-document, so they do not remove each other's words; each row loses what a smaller document has. Texts shorter than a passage
-are kept whole.
+its hash goes out with its document, and it survives if another document has it. The last level finds whether a smaller document
+has the passage; a document loses the words of those passages. Neighbouring candidates go out as one run, and only runs that overlap others in
+part are taken apart into passages, see _earlier. Without survivors the later levels have nothing to do.
+
+Passages are told apart by 128 bits (their short window's hash and their own), windows of the levels before by 64 (a false survivor there
+only costs work). Which documents share a window is found with partial aggregates (smallest and largest document), so a passage that
+a third of all documents have is reduced before it is shuffled; survivors return to their rows by joins whose large
+partitions may be split. Windows are judged on the input, not on what is left.
+
+Nulls and empty texts have no words. Rows with the same key (or without one; these count as the largest) count as one document: they do not
+remove each other's words, each loses what a smaller document has. Texts shorter than a passage are kept whole. An empty
+table gives an empty result.
 """
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .text import SLICE, window_hashes, word_hashes, words
+from .storage import few, picked, stored
+from .text import SLICE, fresh, window_hashes, word_hashes, words
 
 HOT = 1 << 16
 
@@ -43,11 +45,12 @@ def chosen(h: np.ndarray, short: int, length: int) -> tuple[np.ndarray, np.ndarr
     return out, w
 
 
-def removed(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of n words lie in a window of `length` from one of the starts."""
+def removed(n: int, starts: list, length: int) -> np.ndarray:
+    """Which of n words lie in a window of `length` from one of the runs (place, number) of starts."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + length, n), -1)
+    for s in starts:
+        edge[s["at"]] += 1
+        edge[s["at"] + s["n"] - 1 + length] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -55,66 +58,112 @@ def _order(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
 
 
-def _shared(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Hashes that at least two documents have, with the smallest of these."""
-    return rows.groupBy(*on).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+def _mark(docs: DataFrame, key: str, text: str) -> Column:
+    """Tells apart rows of one key: nothing where keys are distinct, else a hash of the text."""
+    own = F.xxhash64(F.col(text).cast("string"))
+    twice = docs.groupBy(_order(key)).agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a < b")
+    return F.lit(0).cast("long") if twice.isEmpty() else own
+
 
+def _alive(rows: DataFrame) -> DataFrame:
+    """doc, mark, alive: the hashes of each document that another document has as well."""
+    shared = rows.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h")
+    return stored(rows.join(shared, "h").groupBy("doc", "mark").agg(F.collect_set("h").alias("alive")), "alive")
 
-def starts(docs: DataFrame, length: int, levels: int, key: str, text: str) -> DataFrame:
-    """doc, starts: sorted places of the windows of `length` words that a smaller document has as well."""
+
+def starts(docs: DataFrame, length: int, levels: int, key: str, text: str, mark: Column) -> DataFrame:
+    """doc, mark, starts: runs (place, number) of the windows of `length` words that a smaller document has as well."""
     sizes = [length]
     for _ in range(levels):
         sizes.insert(0, -(-sizes[0] // 2))
-    base = docs.select(_order(key).alias("doc"), F.col(text).cast("string").alias("text"))
+    base = docs.select(_order(key).alias("doc"), mark.alias("mark"), F.col(text).cast("string").alias("text"))
 
     def first(batches):
         for batch in batches:
             for at in range(0, len(batch), SLICE):
-                ids, got = [], []
-                for d, t in zip(batch["doc"].iloc[at : at + SLICE], batch["text"].iloc[at : at + SLICE], strict=True):
+                ids, marks, got = [], [], []
+                part = batch.iloc[at : at + SLICE]
+                for d, m, t in zip(part["doc"], part["mark"], part["text"], strict=True):
                     ws = words(t)
                     if len(ws) >= length:
                         places, w = chosen(word_hashes(ws), sizes[0], length)
                         hs = np.unique(w[np.unique(places)])
                         ids.append(np.full(len(hs), d))
+                        marks.append(np.full(len(hs), m))
                         got.append(hs.view(np.int64))
                 if ids:
-                    yield pd.DataFrame({"doc": np.concatenate(ids), "h": np.concatenate(got)})
-
-    rows = base.mapInPandas(first, "doc long, h long")
-    alive = rows.join(_shared(rows, ["h"]).select("h"), "h").groupBy("doc").agg(F.collect_set("h").alias("alive"))
-
-    for level, size in enumerate(sizes[1:], 1):
-        last = size == length
-
-        def longer(batches, level=level, size=size, last=last):
-            for batch in batches:
-                ids, got, places = [], [], []
-                for d, t, ok in zip(batch["doc"], batch["text"], batch["alive"], strict=True):
-                    h = word_hashes(words(t))
-                    at = _candidates(h, sizes, level, np.sort(np.asarray(ok, np.int64)))
-                    if len(at):
-                        a, b = window_hashes(h, size, 2)[at], window_hashes(h, size, 3)[at] if last else None
-                        ids.append(np.full(len(at), d))
-                        got.append(np.stack([a, b]) if last else a[None])
-                        places.append(at)
-                if ids:
-                    g = np.concatenate(got, axis=1).view(np.int64)
-                    yield pd.DataFrame({"doc": np.concatenate(ids), "h": g[0], "h2": g[1] if last else 0, "at": np.concatenate(places).astype(np.int32)})
+                    yield pd.DataFrame({"doc": np.concatenate(ids), "mark": np.concatenate(marks), "h": np.concatenate(got)})
+
+    rows = stored(base.mapInPandas(first, "doc long, mark long, h long"), "windows")
+    for level in range(1, levels):
+        alive = _alive(rows)
+        rows = stored(_with_text(base, alive).mapInPandas(_extended(sizes, level), "doc long, mark long, h long"), "windows")
+    runs = stored(_with_text(base, _alive(rows)).mapInPandas(_runs(sizes), "doc long, mark long, h long, run long, at int, n int, each binary"), "runs")
+    return _earlier(runs)
+
+
+def _with_text(base: DataFrame, alive: DataFrame) -> DataFrame:
+    return picked(base, alive.select("doc").distinct(), ["doc"]).join(alive, ["doc", "mark"])
+
+
+def _extended(sizes: list[int], level: int):
+    """Rows (doc, mark, h) of the candidates of a level between the first and the last."""
+    def run(batches):
+        for batch in batches:
+            for d, m, t, ok in zip(batch["doc"], batch["mark"], batch["text"], batch["alive"], strict=True):
+                h = word_hashes(words(t))
+                hs = np.unique(window_hashes(h, sizes[level], 2)[_candidates(h, sizes, level, np.asarray(ok, np.int64))]).view(np.int64)
+                yield pd.DataFrame({"doc": np.full(len(hs), d), "mark": m, "h": hs})
 
-        rows = base.join(alive, "doc").mapInPandas(longer, "doc long, h long, h2 long, at int")
-        if last:
-            rows = cut_lineage(rows)
-            shared = _shared(rows, ["h", "h2"])
-            return rows.join(shared, ["h", "h2"]).where("first < doc").groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("starts"))
-        rows = rows.drop("h2")
-        alive = rows.join(_shared(rows, ["h"]).select("h"), "h").groupBy("doc").agg(F.collect_set("h").alias("alive"))
+    return run
+
+
+def _runs(sizes: list[int]):
+    """Rows of the last level. Neighbouring candidates that chose the same short window form a run: h, the hash of that window; run, the hash
+    of all passages in it; each, their 64-bit hashes. Equal passages chose equal windows, so hashes only meet under one h."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for d, m, t, ok in zip(batch["doc"], batch["mark"], batch["text"], batch["alive"], strict=True):
+                h = word_hashes(words(t))
+                at = _candidates(h, sizes, len(sizes) - 1, np.asarray(ok, np.int64))
+                if len(at):
+                    places, short = chosen(h, sizes[0], sizes[-1])
+                    each = window_hashes(h, sizes[-1], 3)[at]
+                    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(places[at]) != 0)) + 1
+                    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+                        raw = each[a:b].tobytes()
+                        out.append((d, m, int(short[places[at[a]]].view(np.int64)), xxhash.xxh3_64_intdigest(raw) - (1 << 63), int(at[a]), b - a, raw))
+            yield pd.DataFrame(out, columns=["doc", "mark", "h", "run", "at", "n", "each"])
+
+    return run
+
+
+def _earlier(runs: DataFrame) -> DataFrame:
+    """A run that a smaller document has as well goes whole. Of the other runs, those under a window with several kinds of run are taken
+    apart, one document for each kind, and their passages are looked up one by one; inside of copied text that is none."""
+    kinds = runs.groupBy("h", "run").agg(F.min("doc").alias("first"))
+    placed = runs.join(kinds, ["h", "run"])
+    whole = placed.where("first < doc").select("doc", "mark", "at", "n")
+    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+
+    def apart(batches):
+        for batch in batches:
+            n = batch["n"].to_numpy(np.int64)
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pd.DataFrame({"doc": np.repeat(batch["doc"].to_numpy(), n), "mark": np.repeat(batch["mark"].to_numpy(), n), "h": np.repeat(batch["h"].to_numpy(), n),
+                                "w": np.frombuffer(b"".join(batch["each"]), np.int64), "at": (np.repeat(batch["at"].to_numpy(np.int64), n) + inner).astype(np.int32)})
+
+    single = stored(placed.where("first = doc").join(several, "h", "left_semi").select("doc", "mark", "h", "at", "n", "each").mapInPandas(apart, "doc long, mark long, h long, w long, at int"), "passages")
+    shared = single.groupBy("h", "w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    one = single.join(shared, ["h", "w"]).where("first < doc").select("doc", "mark", "at", F.lit(1).alias("n"))
+    return stored(whole.unionByName(one).groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "n")).alias("starts")), "starts")
 
 
 def _candidates(h: np.ndarray, sizes: list[int], level: int, alive: np.ndarray) -> np.ndarray:
     """Places of the windows of sizes[level] words that the survivors of the level before allow. After the first level these are the
     windows whose passage chose a survivor; later, those that begin and end with a survivor."""
-    size, before = sizes[level], sizes[level - 1]
+    alive, size, before = np.sort(alive), sizes[level], sizes[level - 1]
     if len(h) < sizes[-1]:
         return np.empty(0, np.int64)
     if level == 1:
@@ -132,33 +181,50 @@ def _candidates(h: np.ndarray, sizes: list[int], level: int, alive: np.ndarray)
     return np.flatnonzero(ok[:n] & ok[size - before : size - before + n])
 
 
-def dedup(docs: DataFrame, length: int = 50, levels: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with `kept_text` (what is left, words joined by one space; null if nothing of the text goes), `n_words`, `n_removed`."""
-    gone = starts(docs, length, levels, key, text).withColumnRenamed("doc", "_doc")
-    rows = docs.withColumn("_doc", _order(key)).join(gone, "_doc", "left").drop("_doc")
-
-    def cut(texts: pd.Series, at: pd.Series) -> pd.DataFrame:
+def _with_cut(docs: DataFrame, length: int, levels: int, key: str, text: str) -> tuple[DataFrame, str]:
+    """`docs` and the name of a struct added: kept_text (null if nothing of the text goes), n_words, n_removed."""
+    if length < 2 or levels < 1 or length >> levels < 1:
+        raise ValueError("length >= 2 and 1 <= levels, and the first level must have a word")
+    doc, mark, at, cut = fresh(docs, "doc", "mark", "starts", "cut")
+    own = _mark(docs, key, text)
+    gone = starts(docs, length, levels, key, text, own).toDF(doc, mark, at)
+    rows = docs.withColumns({doc: _order(key), mark: own})
+    hit = gone.select(doc).distinct()
+    if few(hit):  # texts that lose nothing stay where they are
+        rest = rows.join(F.broadcast(hit), doc, "left_anti").withColumn(at, F.lit(None).cast(gone.schema[at].dataType))
+        rows = rows.join(F.broadcast(hit), doc, "left_semi").join(gone, [doc, mark], "left").unionByName(rest)
+    else:
+        rows = rows.join(gone, [doc, mark], "left")
+
+    def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         out = []
-        for t, s in zip(texts, at, strict=True):
+        for t, s in zip(texts, places, strict=True):
             ws = words(t)
             if s is None or not len(s):
                 out.append((None, len(ws), 0))
             else:
-                off = removed(len(ws), np.asarray(s, np.int64), length)
+                off = removed(len(ws), s, length)
                 out.append((b" ".join([w for w, o in zip(ws, off.tolist(), strict=True) if not o]).decode("utf-8", "surrogatepass"), len(ws), int(off.sum())))
         return pd.DataFrame(out, columns=["kept_text", "n_words", "n_removed"])
 
-    made = F.pandas_udf(cut, "kept_text string, n_words long, n_removed long")
-    return rows.withColumn("_cut", made(F.col(text).cast("string"), F.col("starts"))).select(*[F.col(f"`{c}`") for c in docs.columns], "_cut.*")
+    made = F.pandas_udf(run, "kept_text string, n_words long, n_removed long")
+    return rows.withColumn(cut, made(F.col(text).cast("string"), F.col(at))), cut
+
+
+def dedup(docs: DataFrame, length: int = 50, levels: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with `kept_text` (what is left, words joined by one space; null if nothing of the text goes), `n_words`, `n_removed`;
+    columns of these names are replaced."""
+    rows, cut = _with_cut(docs, length, levels, key, text)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")], f"{cut}.*")
 
 
-def kept_documents(docs: DataFrame, length: int = 50) -> DataFrame:
+def kept_documents(docs: DataFrame, length: int = 50, levels: int = 1) -> DataFrame:
     """Same rows and columns as `docs`; texts that lose words hold what is left, and n_chars its length."""
-    cut = dedup(docs, length)
-    new = cut.withColumn("text", F.coalesce("kept_text", "text"))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, cut = _with_cut(docs, length, levels, "doc_id", "text")
+    left = F.coalesce(F.col(f"{cut}.kept_text"), F.col("text"))
+    size = F.when(F.col(f"{cut}.n_removed") > 0, F.length(left).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": left, "n_chars": size}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
