@@ -29,8 +29,10 @@ def pixel_provenance(before: DataFrame, after: DataFrame, edits: DataFrame, unre
     The newest write counts only if its label is still there; a changed pixel without a matching write is unknown. An edit
     whose pixels cannot be read makes every pixel without a later write unknown (`unreadable`: n and z, NULL z = all)."""
     j = before.select(*PX, F.col("id").alias("_b")).join(after.select(*PX, F.col("id").alias("_a")), PX, "full_outer")
-    j = j.select(*PX, F.coalesce("_b", F.lit(0)).cast("long").alias("before"), F.coalesce("_a", F.lit(0)).cast("long").alias("after"))
-    j = j.join(last_writes(edits), PX, "full_outer").fillna(0, ["before", "after"])
+    none = F.lit(0).cast("decimal(20,0)")  # ids are unsigned 64-bit
+    wide = "decimal(20,0)" if any(dict(d.dtypes)["id"].startswith("decimal") for d in (before, after)) else "long"
+    j = j.join(last_writes(edits), PX, "full_outer")
+    j = j.withColumn("before", F.coalesce("_b", none).cast(wide)).withColumn("after", F.coalesce("_a", none).cast(wide)).drop("_b", "_a")
     prefill = (F.col("before") >= sam_first_id) if sam_first_id is not None else F.lit(False)
     base = F.when(F.col("before") != F.col("after"), "unknown").when(prefill, "sam").otherwise("baseline")
     confirmed = F.col("n").isNotNull() & (F.col("new_id") == F.col("after"))

@@ -17,7 +17,19 @@ _Y, _Z = 1 << 24, 1 << 44  # pixel code: z, y, x packed into one long (x and y b
 
 
 def pixel_code(z: Column, y: Column, x: Column) -> Column:
-    return z.cast("long") * _Z + y.cast("long") * _Y + x.cast("long")
+    """One long per pixel; a coordinate that does not fit fails the query instead of meeting another pixel's code."""
+    fits = z.between(0, (1 << 18) - 1) & y.between(0, (1 << 20) - 1) & x.between(0, (1 << 20) - 1)
+    code = z.cast("long") * _Z + y.cast("long") * _Y + x.cast("long")
+    return F.when(fits, code).otherwise(F.raise_error(F.concat(F.lit("pixel out of range: "), F.concat_ws(",", z, y, x))).cast("long"))
+
+
+def id_code(v: Column) -> Column:
+    """Unsigned 64-bit ids, shifted into a signed long."""
+    return (v.cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
+def id_of(code: Column, kind: str) -> Column:
+    return (code.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast(kind)
 
 
 def _label_tile(connectivity: int):
@@ -59,12 +71,12 @@ def _label_tile(connectivity: int):
     return run
 
 
-def _star_rounds(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _star_rounds(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root) with root the smallest node of the component."""
     salt = F.pmod(F.xxhash64("v"), F.lit(64))
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = spread_join(both, low, ["u"], salt).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -82,7 +94,7 @@ def label_components(pixels: DataFrame, connectivity: int = 8, value: str | None
     """(z, y, x[, value]) -> the same pixels with `component`, the code of the component's first pixel in raster order.
 
     Only pixels with equal `value` connect; without `value` every listed pixel is foreground."""
-    v = F.col(value).cast("long") if value else F.lit(1).cast("long")
+    v = id_code(F.col(value)) if value else F.lit(1).cast("long")
     p = pixels.select(F.col("z").cast("long").alias("z"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), v.alias("v"))
     p = p.withColumn("code", pixel_code(F.col("z"), F.col("y"), F.col("x")))
     tiles = [F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")]
@@ -98,7 +110,7 @@ def label_components(pixels: DataFrame, connectivity: int = 8, value: str | None
     roots = _star_rounds(cross)
     salt = F.pmod(F.xxhash64("code"), F.lit(64))
     named = spread_join(local, roots.select(F.col("node").alias("local"), "root"), ["local"], salt, "left")
-    return named.select("z", "y", "x", *([F.col("v").alias(value)] if value else []), F.coalesce("root", "local").alias("component"))
+    return named.select("z", "y", "x", *([id_of(F.col("v"), pixels.schema[value].dataType.simpleString()).alias(value)] if value else []), F.coalesce("root", "local").alias("component"))
 
 
 def component_stats(labelled: DataFrame, extra: list | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """Export and inference plans, shard writing, session maps."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +80,10 @@ def _read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_export(planned: DataFrame, section_rows: DataFrame, out_dir: str) -> dict:
-    """Write the sections of the missing shards, then append the manifest (the commit marker, written last).
+    """Write the sections of the missing shards under a name of this attempt, then append the manifest (the commit marker, written last).
 
-    `section_rows` is (block_id, z, payload). Rows meet their shard on (block_id, z), never on the block alone."""
+    `section_rows` is (block_id, z, payload). Rows meet their shard on (block_id, z), never on the block alone. What an attempt that
+    broke off has written is in no manifest, so read_export never sees it and a rerun writes those shards anew."""
     spark = planned.sparkSession
     todo = pending_shards(planned, _read_manifest(spark, f"{out_dir}/manifest"))
     from ..session import cut_lineage
@@ -88,30 +91,45 @@ def write_export(planned: DataFrame, section_rows: DataFrame, out_dir: str) -> d
     todo = cut_lineage(todo)  # the plan reads the manifest this function appends to
     n = todo.count()
     if n:
+        attempt = uuid.uuid4().hex
         z_rows = range_rows(todo, F.col("z0"), F.col("z1"), 1, "z").select("block_id", "z", "z0", "z1")
         out = section_rows.join(z_rows, ["block_id", "z"])
-        out.repartition("block_id", "z0").sortWithinPartitions("block_id", "z0", "z").write.mode("append").parquet(f"{out_dir}/sections")
-        todo.write.mode("append").parquet(f"{out_dir}/manifest")
+        out.repartition("block_id", "z0").sortWithinPartitions("block_id", "z0", "z").write.parquet(f"{out_dir}/sections/attempt={attempt}")
+        todo.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{out_dir}/manifest")
     return {"n_new": n, "n_planned": planned.count()}
 
 
+def read_export(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The committed sections of an export."""
+    manifest = spark.read.parquet(f"{out_dir}/manifest").select("block_id", "z0", "attempt")
+    return spark.read.parquet(f"{out_dir}/sections").join(manifest, ["block_id", "z0", "attempt"], "left_semi").drop("attempt")
+
+
 def run_model(items: DataFrame, model, schema: str, columns: list[str]) -> DataFrame:
-    """Batch inference over plan items that already carry their payload: `model` maps one pandas row to a tuple of `schema`.
+    """Batch inference over plan items that already carry their payload: `model` maps a pandas batch to a frame of `schema`, row by row.
 
-    A row whose model call fails is kept with state `fail`, the others with `ok`, like acknowledged chunks."""
+    A batch whose call fails is halved until the failing rows stand alone; these are kept with state `fail`, the others with `ok`,
+    like acknowledged chunks."""
     import pandas as pd
 
     names = [c.split()[0] for c in schema.split(",")]
     types = dict(items.dtypes)
 
+    def called(pdf):
+        try:
+            out = model(pdf)
+            if len(out) != len(pdf):
+                raise ValueError("the model gave another number of rows")
+            return out[names].reset_index(drop=True).assign(state="ok")
+        except Exception:  # noqa: BLE001 - one bad item must not end the job
+            if len(pdf) == 1:
+                return pd.DataFrame([[None] * len(names)], columns=names, dtype=object).assign(state="fail")
+            half = len(pdf) // 2
+            return pd.concat([called(pdf.iloc[:half]), called(pdf.iloc[half:])], ignore_index=True)
+
     def run(batches):
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                try:
-                    rows.append((*model(r), "ok"))
-                except Exception:  # noqa: BLE001 - one bad item must not end the job
-                    rows.append((*[None] * len(names), "fail"))
-            yield pd.concat([pdf[columns].reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "state"])], axis=1)
+            if len(pdf):
+                yield pd.concat([pdf[columns].reset_index(drop=True), called(pdf)], axis=1)
 
     return items.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in columns) + f", {schema}, state string")

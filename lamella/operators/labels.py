@@ -57,17 +57,15 @@ def pack_rgb(r: Column, g: Column, b: Column) -> Column:
 
 
 def section_label_stats(pixels: DataFrame, fill: DataFrame, height: int, width: int) -> DataFrame:
-    """Per section: background fraction, ids on every fourth pixel, fraction of the label painted over image fill."""
+    """Per section: background fraction, distinct ids (background counts as one), fraction of the label painted over image fill."""
     total = height * width
-    grid = ((height + 3) // 4) * ((width + 3) // 4)
-    sampled = (F.col("y") % 4 == 0) & (F.col("x") % 4 == 0)
     fg = pixels.where("id <> 0").join(fill.select("z", "y", "x", F.lit(1).alias("_f")), ["z", "y", "x"], "left")
-    a = fg.groupBy("z").agg(F.count(F.lit(1)).alias("n_fg"), F.count("_f").alias("n_fg_fill"), F.count_if(sampled).alias("n_s"))
+    a = fg.groupBy("z").agg(F.count(F.lit(1)).alias("n_fg"), F.count("_f").alias("n_fg_fill"))
     # distinct ids: first distinct (z, id), so one frequent id is one row
-    ids = fg.where(sampled).select("z", "id").distinct().groupBy("z").agg(F.count(F.lit(1)).alias("n_id"))
+    ids = fg.select("z", "id").distinct().groupBy("z").agg(F.count(F.lit(1)).alias("n_id"))
     f = fill.groupBy("z").agg((F.count(F.lit(1)) / total).alias("fill_frac"))
     j = a.join(ids, "z", "left").join(f, "z", "left")
-    return j.select("z", (1 - F.col("n_fg") / total).alias("frac_background"), (F.coalesce("n_id", F.lit(0)) + (F.col("n_s") < grid).cast("int")).cast("long").alias("n_ids"),
+    return j.select("z", (1 - F.col("n_fg") / total).alias("frac_background"), (F.coalesce("n_id", F.lit(0)) + (F.col("n_fg") < total).cast("int")).cast("long").alias("n_ids"),
                     F.when(F.col("n_fg") > 0, F.col("n_fg_fill") / F.col("n_fg")).otherwise(F.lit(0.0)).alias("frac_label_in_fill"), F.coalesce("fill_frac", F.lit(0.0)).alias("fill_frac"))
 
 
@@ -94,12 +92,13 @@ def asset_verdict(checked: DataFrame, key: str, alignable: Column) -> DataFrame:
     return a.select(key, "n_sections", "n_flagged", status.alias("status"), (status != "fail").alias("usable_for_patches"), (F.coalesce("n_dtypes", F.lit(0)) > 1).alias("encoding_inconsistent"))
 
 
-def mask_conflicts(masks: DataFrame, n_sections: Column | int, plane_px: int) -> tuple[DataFrame, DataFrame]:
-    """(per section, summary) fraction of pixels claimed by more than one exclusive mask (rows: mask, z, y, x)."""
+def mask_conflicts(masks: DataFrame, n_sections: Column | int | None, plane_px: int) -> tuple[DataFrame, DataFrame]:
+    """(per section, summary) fraction of pixels claimed by more than one exclusive mask (rows: mask, z, y, x). The mean is over
+    `n_sections`, or over the sections that have masks."""
     claimed = masks.select("mask", "z", "y", "x").distinct().groupBy("z", "y", "x").agg(F.count(F.lit(1)).alias("n"))
     per = claimed.groupBy("z").agg((F.count_if(F.col("n") > 1) / plane_px).alias("conflict_frac"))
     worst = F.max("conflict_frac")
-    return per, per.agg((F.sum("conflict_frac") / n_sections).alias("conflict_frac_mean"), worst.alias("conflict_frac_max"), F.when(worst < 0.001, "ok").otherwise("warn").alias("status"))
+    return per, per.agg((F.sum("conflict_frac") / (F.count(F.lit(1)) if n_sections is None else n_sections)).alias("conflict_frac_mean"), worst.alias("conflict_frac_max"), F.when(worst < 0.001, "ok").otherwise("warn").alias("status"))
 
 
 def readiness(datasets: DataFrame, assets: DataFrame) -> DataFrame:

@@ -171,4 +171,4 @@ def link_sections(labels: DataFrame, z_values: list[int], min_iou: float = 0.3,
                 key, F.lit(z).cast("long").alias("z"), "label", F.coalesce("_g", fresh).alias("gid"))
         known = cut_lineage(now if known is None else known.unionByName(now))
         recent = ([z] + recent)[:gap]
-    return known
+    return lab.select(key, "z", "label", F.col("label").alias("gid")) if known is None else known

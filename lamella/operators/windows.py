@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .components import component_stats
 from .labels import edge_flags
 from .ordered import spread_join
@@ -25,10 +26,10 @@ def in_windows(points: DataFrame, windows: DataFrame, cell: int = 64) -> DataFra
     return p.join(w.withColumnRenamed("zc", "z"), ["z", "_cy", "_cx"]).where(inside).drop("_cy", "_cx")
 
 
-def failure_windows(findings: DataFrame, blocks: DataFrame, size: tuple[int, int, int], n: int, min_sev: int = 1, seed: int = 0) -> DataFrame:
-    """Windows centred on findings, worst first; boxes (bx0..by1) centre the window, findings without one get a random spot.
+def failure_windows(findings: DataFrame, blocks: DataFrame, size: tuple[int, int, int], n: int | None = None, min_sev: int = 1, seed: int = 0) -> DataFrame:
+    """Windows centred on findings; boxes (bx0..by1) centre the window, findings without one get a random spot.
 
-    Only the first of equal (block, window, failure) survives, then the best `n` over all blocks."""
+    Only the first of equal (block, window, failure) survives; with `n`, the best `n` over all blocks, worst first."""
     dz, dy, dx = size
     b = blocks.where((F.col("z_end") - F.col("z_start") >= dz) & (F.col("y_end") - F.col("y_start") >= dy) & (F.col("x_end") - F.col("x_start") >= dx))
     f = findings.where((F.col("sev") >= min_sev) & F.col("z").isNotNull())
@@ -41,7 +42,9 @@ def failure_windows(findings: DataFrame, blocks: DataFrame, size: tuple[int, int
     first = j.groupBy("block_id", "z0", "y0", "x0", "failure_type").agg(F.min(F.struct((-F.col("sev")).alias("o"), "z", "check_name", "score", "grade")).alias("f"))
     flat = first.select("block_id", "z0", "y0", "x0", "failure_type", (-F.col("f.o")).alias("sev"), F.col("f.z").alias("z_center"), F.col("f.check_name").alias("check_name"),
                         F.col("f.score").alias("score"), F.col("f.grade").alias("grade"))
-    return with_box(flat.orderBy(F.col("sev").desc(), "z_center", "check_name", "block_id", "failure_type").limit(n), size)
+    if n is not None:
+        flat = flat.orderBy(F.col("sev").desc(), "z_center", "check_name", "block_id", "failure_type").limit(n)
+    return with_box(flat, size)
 
 
 def candidate_windows(windows: DataFrame, blocks: DataFrame, size: tuple[int, int, int], budget: int, seed: int = 0, dedupe: int = 8) -> DataFrame:
@@ -59,6 +62,19 @@ def candidate_windows(windows: DataFrame, blocks: DataFrame, size: tuple[int, in
     return with_box(c, size).withColumn("zc", F.col("z0") + dz // 2).withColumn("window_id", F.concat_ws(":", "block_id", "z0", "y0", "x0"))
 
 
+def drawn(windows: DataFrame, blocks: DataFrame, size: tuple[int, int, int], accepted, n: int, seed: int = 0, dedupe: int = 8) -> DataFrame:
+    """The first `n` windows that `accepted` (candidates -> accepted candidates) lets through. Draws are made anew with four times the budget
+    until `n` are accepted or a larger budget brings no new candidate; earlier candidates come first in every round."""
+    budget, seen = 8 * n, -1
+    while True:
+        candidates = cut_lineage(candidate_windows(windows, blocks, size, budget, seed, dedupe))
+        good = cut_lineage(accepted(candidates))
+        now = candidates.count()
+        if now == seen or good.count() >= n:
+            return good.orderBy("_h", "window_id").limit(n)
+        budget, seen = 4 * budget, now
+
+
 def label_evidence(candidates: DataFrame, pixels: DataFrame, height: int, width: int, col: str = "id") -> DataFrame:
     """Per window, from its centre section: foreground fraction, distinct ids, boundary fraction."""
     w = candidates.select("window_id", "zc", "y0", "y1", "x0", "x1")
@@ -78,10 +94,10 @@ def label_evidence(candidates: DataFrame, pixels: DataFrame, height: int, width:
         "boundary_frac", F.coalesce(F.col("n_bd"), F.lit(0)) / area).drop("n_fg", "n_bd")
 
 
-def accept_windows(evidence: DataFrame, patch_type: str, n: int, min_fg: float = 0.3, min_ids: int = 2, min_boundary: float = 0.02) -> DataFrame:
-    """First `n` accepted windows in candidate order."""
+def accept_windows(evidence: DataFrame, patch_type: str, min_fg: float = 0.3, min_ids: int = 2, min_boundary: float = 0.02) -> DataFrame:
+    """Windows whose evidence holds for the patch type."""
     ok = (F.col("fg_frac") >= min_fg) & (F.col("n_ids") >= min_ids) if patch_type == "segmentation" else F.col("boundary_frac") >= min_boundary
-    return evidence.where(ok).orderBy("_h", "window_id").limit(n)
+    return evidence.where(ok)
 
 
 def disagreement(candidates: DataFrame, truth: DataFrame, prediction: DataFrame, height: int, width: int) -> DataFrame:

@@ -102,12 +102,14 @@ def label_merge(spark, sf):
 
 # ----------------------------------------------------------------------------- audit log
 
-view("v_slots", "SELECT b.block_id, CAST(k AS BIGINT) AS z FROM (SELECT DISTINCT block_id FROM v_audit) b, (SELECT unnest(range(0, 8)) AS k)", "v_audit")
+view("v_slots", "SELECT b.block_id, CAST(k AS BIGINT) AS z FROM (SELECT DISTINCT block_id FROM v_audit) b, (SELECT unnest(range(0, (SELECT max(z) + 1 FROM v_audit))) AS k)", "v_audit")
 
 
 def slots(spark, sf):
-    """Eight sections per block."""
-    return T.audit(spark, sf).select("block_id").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("z", F.col("z").cast("long"))
+    """Every section of every block, up to the largest that the log names."""
+    a = T.audit(spark, sf)
+    top = a.agg(F.max("z").alias("_top"))
+    return a.select("block_id").distinct().crossJoin(F.broadcast(top)).select("block_id", F.explode(F.sequence(F.lit(0).cast("long"), "_top")).alias("z"))  # against one row
 
 
 @query("slice_revision", "WIN10", sql("v_slots", body="SELECT s.block_id, s.z, coalesce(max(a.seq), 0) AS rev FROM v_slots s LEFT JOIN v_audit a ON a.block_id = s.block_id AND (a.z IS NULL OR a.z = s.z) GROUP BY s.block_id, s.z"))
@@ -271,13 +273,13 @@ def mark_threads(spark, sf):
 
 
 @query("neighbour_vote", "ALG18, JN14", sql("v_pixels", ctes={
-    "m": "SELECT z, y, x FROM v_pixels WHERE id = 1", "sz": "SELECT z, count(*) AS n FROM m GROUP BY z",
-    "v": "SELECT m.z AS qz, p.z, p.id, count(*) AS px FROM m JOIN v_pixels p ON p.y = m.y AND p.x = m.x AND p.z <> m.z AND abs(p.z - m.z) <= 3 WHERE p.id <> 0 GROUP BY 1, 2, 3",
-    "t": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qz, z ORDER BY px DESC, id) AS rn FROM v) WHERE rn = 1",
-    "s": "SELECT t.qz, t.z, t.id, t.px, t.px / CAST(sz.n AS DOUBLE) AS share, abs(t.z - t.qz) AS distance, count(*) OVER (PARTITION BY qz, id) AS n_slices, row_number() OVER (PARTITION BY qz, id ORDER BY abs(t.z - t.qz), t.px DESC, t.z) AS k FROM t JOIN sz ON sz.z = t.qz"}, body="""
-SELECT qz AS z, id, distance, z AS z_src, round(share, 8) AS share, px, n_slices, CAST(row_number() OVER (PARTITION BY qz ORDER BY distance, share DESC, id) AS INTEGER) AS rank FROM s WHERE k = 1"""))
+    "m": "SELECT id AS q, z, y, x FROM v_pixels", "sz": "SELECT q, z, count(*) AS n FROM m GROUP BY q, z",
+    "v": "SELECT m.q, m.z AS qz, p.z, p.id, count(*) AS px FROM m JOIN v_pixels p ON p.y = m.y AND p.x = m.x AND p.z <> m.z AND abs(p.z - m.z) <= 3 WHERE p.id <> 0 GROUP BY 1, 2, 3, 4",
+    "t": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, qz, z ORDER BY px DESC, id) AS rn FROM v) WHERE rn = 1",
+    "s": "SELECT t.q, t.qz, t.z, t.id, t.px, t.px / CAST(sz.n AS DOUBLE) AS share, abs(t.z - t.qz) AS distance, count(*) OVER (PARTITION BY t.q, qz, id) AS n_slices, row_number() OVER (PARTITION BY t.q, qz, id ORDER BY abs(t.z - t.qz), t.px DESC, t.z) AS k FROM t JOIN sz ON sz.z = t.qz AND sz.q = t.q"}, body="""
+SELECT q AS label, qz AS z, id, distance, z AS z_src, round(share, 8) AS share, px, n_slices, CAST(row_number() OVER (PARTITION BY q, qz ORDER BY distance, share DESC, id) AS INTEGER) AS rank FROM s WHERE k = 1"""))
 def neighbour_vote(spark, sf):
     p = T.pixels(spark, sf).select("z", "y", "x", "id")
-    m = p.where("id = 1").select(F.col("z").alias("query_id"), "z", "y", "x")
+    m = p.select(F.col("id").alias("query_id"), "z", "y", "x")
     v = A.neighbour_votes(p, m, 3)
-    return v.select(F.col("qz").alias("z"), "id", "distance", "z_src", F.round("share", 8).alias("share"), "px", "n_slices", "rank")
+    return v.select(F.col("query_id").alias("label"), F.col("qz").alias("z"), "id", "distance", "z_src", F.round("share", 8).alias("share"), "px", "n_slices", "rank")

@@ -64,7 +64,7 @@ _FW = {
 }
 
 
-def _failure_windows(spark, sf, n):
+def _failure_windows(spark, sf, n=None):
     f = S.findings(rolled(spark, sf)).drop("dataset_id")
     b = T.blocks(spark, sf)
     z = F.col("z")
@@ -84,7 +84,7 @@ def failure_windows(spark, sf):
 SELECT 'partition' AS counter, partition AS value, count(*) AS n FROM s GROUP BY partition UNION ALL SELECT 'block', block_id, count(*) FROM s GROUP BY block_id
 UNION ALL SELECT 'failure_type', failure_type, count(*) FROM s GROUP BY failure_type UNION ALL SELECT 'grade', grade, count(*) FROM s GROUP BY grade"""))
 def patch_set_counters(spark, sf):
-    p = _failure_windows(spark, sf, 10_000_000)
+    p = _failure_windows(spark, sf)
     g = F.col("grade")
     return W.set_counters(p.withColumn("partition", F.when(g.isin("A", "B"), "train").when(g == "C", "val").otherwise("test")))
 
@@ -94,7 +94,7 @@ def patch_set_counters(spark, sf):
 SELECT block_id, failure_type, patch_type, concat('/api/v1/data/vol/cutout?', q, '&fmt=npy') AS url_em,
  CASE WHEN asset IS NOT NULL THEN concat('/api/v1/data/vol/labels/7/cutout?', q, '&derive=', CASE patch_type WHEN 'membrane' THEN 'boundary' WHEN 'synapse' THEN 'mask' ELSE 'ids' END) END AS url_label FROM k"""))
 def patch_manifest(spark, sf):
-    p = _failure_windows(spark, sf, 10_000_000).withColumn("dataset_id", F.lit("vol"))
+    p = _failure_windows(spark, sf).withColumn("dataset_id", F.lit("vol"))
     g = F.col("grade")
     p = p.withColumn("patch_type", F.when(g == "A", "membrane").when(g == "B", "synapse").otherwise("segmentation"))
     page = p.orderBy("block_id", "z0", "y0", "x0", "failure_type").offset(50).limit(100)
@@ -145,18 +145,18 @@ _MASKS = "SELECT DISTINCT l_returnflag AS mask, CAST(l_linenumber AS BIGINT) AS
 
 @query("mask_conflict", "JN5, AGG21", sql(ctes={"m": _MASKS, "c": "SELECT z, y, x, count(*) AS n FROM m GROUP BY z, y, x", "per": "SELECT z, count(*) FILTER (n > 1) / 65536e0 AS f FROM c GROUP BY z"}, body="""
 SELECT z, round(f, 8) AS conflict_frac, CAST(NULL AS DOUBLE) AS mean_frac, CAST(NULL AS VARCHAR) AS status FROM per
-UNION ALL SELECT NULL, round(max(f), 8), round(sum(f) / 7, 8), CASE WHEN max(f) < 0.001e0 THEN 'ok' ELSE 'warn' END FROM per"""))
+UNION ALL SELECT NULL, round(max(f), 8), round(avg(f), 8), CASE WHEN max(f) < 0.001e0 THEN 'ok' ELSE 'warn' END FROM per"""))
 def mask_conflict(spark, sf):
     li = T.load(spark, sf, "lineitem")
     m = li.select(F.col("l_returnflag").alias("mask"), F.col("l_linenumber").cast("long").alias("z"), (F.col("l_orderkey") % 256).alias("y"), (F.col("l_partkey") % 256).alias("x"))
-    per, tot = L.mask_conflicts(m, 7, H * H)
+    per, tot = L.mask_conflicts(m, None, H * H)
     none = F.lit(None)
     return per.select("z", F.round("conflict_frac", 8).alias("conflict_frac"), none.cast("double").alias("mean_frac"), none.cast("string").alias("status")).unionByName(
         tot.select(none.cast("bigint").alias("z"), F.round("conflict_frac_max", 8).alias("conflict_frac"), F.round("conflict_frac_mean", 8).alias("mean_frac"), "status"))
 
 
 @query("label_section_stats", "AGG19, JN4", sql("v_pixels", ctes={"fill": "SELECT z, y, x FROM v_pixels WHERE id_after = 8"}, body="""
-SELECT p.z, round(1 - count(*) / 65536e0, 8) AS frac_background, count(DISTINCT id) FILTER (p.y % 4 = 0 AND p.x % 4 = 0) + CASE WHEN count(*) FILTER (p.y % 4 = 0 AND p.x % 4 = 0) < 4096 THEN 1 ELSE 0 END AS n_ids,
+SELECT p.z, round(1 - count(*) / 65536e0, 8) AS frac_background, count(DISTINCT id) + CASE WHEN count(*) < 65536 THEN 1 ELSE 0 END AS n_ids,
  round(count(f.z) / CAST(count(*) AS DOUBLE), 8) AS frac_label_in_fill, round((SELECT count(*) FROM fill g WHERE g.z = p.z) / 65536e0, 8) AS fill_frac
 FROM v_pixels p LEFT JOIN fill f ON f.z = p.z AND f.y = p.y AND f.x = p.x GROUP BY p.z"""))
 def label_section_stats(spark, sf):
@@ -188,10 +188,12 @@ def label_validation(spark, sf):
     return _checked(spark, sf).where(F.size("issues") > 0).select("block_id", "z", "em_status", "present", F.array_join("issues", ",").alias("issues"))
 
 
-@query("label_asset_verdict", "AGG20", sql("v_label_docs", ctes={"ld": _LD, "iss": _ISSUES, "a": """SELECT block_id, count(*) AS n_sections, count(*) FILTER (len(issues) > 0) AS n_flagged, bool_or(corrupt) AS bad, count(*) < 1000000 AS aligned, count(DISTINCT dtype) AS nd FROM iss GROUP BY block_id"""}, body="""
+@query("label_asset_verdict", "AGG20", sql("v_label_docs", ctes={"ld": _LD, "iss": _ISSUES, "a": """SELECT block_id, count(*) AS n_sections, count(*) FILTER (len(issues) > 0) AS n_flagged, bool_or(corrupt) AS bad, 960 % (64 * (1 + CAST(substr(block_id, 4) AS BIGINT) % 5)) = 0 AS aligned, count(DISTINCT dtype) AS nd FROM iss GROUP BY block_id"""}, body="""
 SELECT block_id, n_sections, n_flagged, CASE WHEN NOT aligned OR bad THEN 'fail' WHEN n_flagged > 0 THEN 'warn' ELSE 'ok' END AS status, aligned AND NOT bad AS usable_for_patches, nd > 1 AS encoding_inconsistent FROM a"""))
 def label_asset_verdict(spark, sf):
-    return L.asset_verdict(_checked(spark, sf), "block_id", F.count(F.lit(1)) < 1_000_000)
+    side = 64 * (1 + F.substr("block_id", F.lit(4)).cast("long") % 5)  # label planes of each asset over image planes of 960 pixels
+    fits = L.plane_scale(F.lit(960), F.lit(960), side, side).isNotNull()
+    return L.asset_verdict(_checked(spark, sf).withColumn("fits", fits), "block_id", F.bool_and("fits"))
 
 
 # assets of every customer: type from the market segment, validated by balance
@@ -262,23 +264,23 @@ def _plane_blocks(spark, sf):
     return b.withColumn("y_end", F.col("y_start") + 128).withColumn("x_end", F.col("x_start") + 128).withColumn("block_id", F.concat_ws("_", F.lit("q"), "y_start", "x_start")).withColumn("grade", F.lit("A"))
 
 
-def _candidates(spark, sf, seed=3):
+def _drawn(spark, sf, accepted, seed=3):
     from ..operators.runs import allowed_windows
 
     b = _plane_blocks(spark, sf)
-    return W.candidate_windows(allowed_windows(b, None, 3), b, (3, 32, 32), 64 * 8, seed)
+    return W.drawn(allowed_windows(b, None, 3), b, (3, 32, 32), accepted, 64, seed)
 
 
 @query("segmentation_windows", "SMP6, AGG25")
 def segmentation_windows(spark, sf):
-    e = W.label_evidence(_candidates(spark, sf), T.pixels(spark, sf), H, H)
-    return W.accept_windows(e, "segmentation", 64, min_fg=0.05).select("window_id", "zc", "y0", "x0", "fg_frac", "n_ids", "boundary_frac")
+    e = _drawn(spark, sf, lambda c: W.accept_windows(W.label_evidence(c, T.pixels(spark, sf), H, H), "segmentation", min_fg=0.05))
+    return e.select("window_id", "zc", "y0", "x0", "fg_frac", "n_ids", "boundary_frac")
 
 
 @query("membrane_windows", "SMP6, AGG25")
 def membrane_windows(spark, sf):
-    e = W.label_evidence(_candidates(spark, sf, 9), T.pixels(spark, sf), H, H)
-    return W.accept_windows(e, "membrane", 64).select("window_id", "zc", "y0", "x0", "fg_frac", "n_ids", "boundary_frac")
+    e = _drawn(spark, sf, lambda c: W.accept_windows(W.label_evidence(c, T.pixels(spark, sf), H, H), "membrane"), 9)
+    return e.select("window_id", "zc", "y0", "x0", "fg_frac", "n_ids", "boundary_frac")
 
 
 def _planes(spark, sf):
@@ -288,8 +290,8 @@ def _planes(spark, sf):
 
 @query("hard_negative_windows", "SMP6, JN10")
 def hard_negative_windows(spark, sf):
-    d = W.disagreement(_candidates(spark, sf), *_planes(spark, sf), H, H)
-    return d.where("disagreement >= 0.05").orderBy("_h", "window_id").limit(64).select("window_id", "zc", "fg_disagreement", "boundary_disagreement", "disagreement")
+    d = _drawn(spark, sf, lambda c: W.disagreement(c, *_planes(spark, sf), H, H).where("disagreement >= 0.05"))
+    return d.select("window_id", "zc", "fg_disagreement", "boundary_disagreement", "disagreement")
 
 
 # every 32 x 32 tile of every plane as a window: evidence and ranking that SQL can repeat

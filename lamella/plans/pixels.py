@@ -201,4 +201,5 @@ def mask_consolidation(spark, sf):
 @query("mask_links", "ALG6, JN15 links")
 def mask_links(spark, sf):
     lab = P.consolidate_masks(_tile_masks(spark, sf), None, 3)
-    return P.link_sections(lab, list(range(1, 8)), 0.02)
+    lo, hi = lab.agg(F.min("z"), F.max("z")).first()
+    return P.link_sections(lab, list(range(lo, hi + 1)) if lo is not None else [], 0.02)

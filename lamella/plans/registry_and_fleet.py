@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fleet as G
 from ..operators import runs as W
+from ..operators.ordered import spread_join
 from ..session import ensure_checkpoint_dir
 from ..sources import imagestack as I
 from ..sources import sinks as K
@@ -269,12 +270,14 @@ def asset_copy_plan(spark, sf):
     return K.asset_copy_plan(slices(spark, sf).where("passed").select("z").distinct(), files, have)
 
 
-@query("materialise_plan", "SNK5", sql("v_slices", body="SELECT block_id, z FROM v_slices WHERE z BETWEEN 5 AND 40 AND status <> 'ok'"))
+@query("materialise_plan", "SNK5", sql("v_slices", "v_blocks", body="""
+SELECT s.block_id, s.z FROM v_slices s JOIN v_blocks b ON b.block_id = s.block_id WHERE s.z >= b.block_no % 7 AND s.z < b.block_no % 7 + b.z_end - b.z_start AND s.status <> 'ok'"""))
 def materialise_plan(spark, sf):
     from .section_runs import slices
 
     s = slices(spark, sf)
-    want = s.where("z BETWEEN 5 AND 40").select("block_id", "z")
+    roi = T.blocks(spark, sf).select("block_id", (F.col("block_no") % 7).alias("lo"), (F.col("block_no") % 7 + F.col("z_end") - F.col("z_start")).alias("hi"))
+    want = spread_join(s.select("block_id", "z"), roi, ["block_id"], F.floor(F.col("z") / 1024).cast("long")).where("z >= lo AND z < hi").select("block_id", "z")
     return K.missing_sections(want, s.where("status = 'ok'"), ["block_id", "z"])
 
 

@@ -159,7 +159,7 @@ def type_examples(spark, sf):
     one = f.where("sev >= 3").groupBy("failure_type", "dataset_id", "z").agg(F.min("block_id").alias("block_id"))
     n = one.groupBy("failure_type").agg(F.count(F.lit(1)).alias("n_sections"))
     w = W.Window.partitionBy("failure_type").orderBy("dataset_id", "z")
-    top = one.withColumn("shot", F.row_number().over(w)).where("shot <= 18").join(n, "failure_type")
+    top = one.withColumn("shot", F.row_number().over(w)).where(F.col("shot") <= F.lit(n.count())).join(n, "failure_type")  # as many candidates as there are types
     return W.example_per_type(top)
 
 

@@ -110,7 +110,7 @@ def stream_run_counters(spark, sf):
 
 @query("stream_revision", "STR9", sql(ctes={
     "a": "SELECT concat('b', lpad(CAST(conv_id AS VARCHAR), 5, '0')) AS block_id, turn AS seq, CASE WHEN length(text) % 17 = 0 THEN NULL ELSE length(text) % 8 END AS z FROM conversations",
-    "s": "SELECT block_id, CAST(k AS BIGINT) AS z FROM (SELECT DISTINCT block_id FROM a), (SELECT unnest(range(0, 8)) AS k)"}, body="""
+    "s": "SELECT block_id, CAST(k AS BIGINT) AS z FROM (SELECT DISTINCT block_id FROM a), (SELECT unnest(range(0, (SELECT max(z) + 1 FROM a))) AS k)"}, body="""
 SELECT s.block_id, s.z, coalesce(max(a.seq), 0) AS rev FROM s LEFT JOIN a ON a.block_id = s.block_id AND (a.z IS NULL OR a.z = s.z) GROUP BY s.block_id, s.z"""))
 def stream_revision(spark, sf):
     n = F.length("text")
@@ -119,5 +119,6 @@ def stream_revision(spark, sf):
         return c.select(T.padded("b", F.col("conv_id")).alias("block_id"), F.col("turn").alias("seq"), F.when(n % 17 == 0, F.lit(None)).otherwise(n % 8).cast("long").alias("z"))
 
     state = drain(O.revisions(log(stream_table(spark, sf, "conversations"))), "update", ["block_id", "z"])
-    slots = log(T.load(spark, sf, "conversations")).select("block_id").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("z", F.col("z").cast("long"))
+    entries = log(T.load(spark, sf, "conversations"))
+    slots = entries.select("block_id").distinct().crossJoin(F.broadcast(entries.agg(F.max("z").alias("_top")))).select("block_id", F.explode(F.sequence(F.lit(0).cast("long"), "_top")).alias("z"))  # against one row
     return O.fan_out_revisions(state, slots)

@@ -45,8 +45,7 @@ SELECT b.block_id,
        b.z_start + l.l_partkey % 90 AS z0, b.z_start + l.l_partkey % 90 + 16 AS z1,
        b.y_start + (l.l_orderkey * 7) % 800 AS y0, b.y_start + (l.l_orderkey * 7) % 800 + 256 AS y1,
        b.x_start + (l.l_orderkey * 11) % 800 AS x0, b.x_start + (l.l_orderkey * 11) % 800 + 256 AS x1
-FROM lineitem l JOIN v_blocks b ON b.block_no = l.l_suppkey
-WHERE l.l_linenumber = 1""", "v_blocks")
+FROM lineitem l JOIN v_blocks b ON b.block_no = l.l_suppkey""", "v_blocks")
 
 view("v_thumbs", """
 SELECT concat('b', CAST(label AS VARCHAR(20))) AS block_id,

@@ -62,7 +62,7 @@ def decode_npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False)
 
 
-STACK_SCHEMA = "dataset_id string, z_abs long, status string, h int, w int, dtype string, payload binary, error string"
+STACK_SCHEMA = "dataset_id string, z_abs long, path string, status string, h int, w int, dtype string, payload binary, error string"
 
 
 def read_stack(spark: SparkSession, root: str, pattern: str = "*", decoder=decode_pgm, expected: tuple[int, int] | None = None) -> DataFrame:
@@ -71,31 +71,34 @@ def read_stack(spark: SparkSession, root: str, pattern: str = "*", decoder=decod
     The dataset is the parent directory. A bad file never fails the job."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     parent = F.element_at(F.split("path", "/"), -2)
-    f = files.select(parent.alias("dataset_id"), last_integer(file_stem(F.col("path"))).alias("z_abs"), "content").where("z_abs IS NOT NULL")
+    f = files.select(parent.alias("dataset_id"), last_integer(file_stem(F.col("path"))).alias("z_abs"), "path", "content").where("z_abs IS NOT NULL")
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for ds, z, data in zip(pdf["dataset_id"], pdf["z_abs"], pdf["content"]):
+            for ds, z, path, data in zip(pdf["dataset_id"], pdf["z_abs"], pdf["path"], pdf["content"]):
                 try:
                     a = decoder(bytes(data))
                     if a.ndim != 2 or (expected and a.shape != expected):
                         raise ValueError(f"shape {a.shape}")
-                    rows.append((ds, z, "ok", a.shape[0], a.shape[1], str(a.dtype), np.ascontiguousarray(a).tobytes(), None))
+                    rows.append((ds, z, path, "ok", a.shape[0], a.shape[1], str(a.dtype), np.ascontiguousarray(a).tobytes(), None))
                 except Exception as e:  # noqa: BLE001 - any decoder failure means this one file is corrupt
-                    rows.append((ds, z, "corrupt", None, None, None, None, f"{type(e).__name__}: {e}"))
+                    rows.append((ds, z, path, "corrupt", None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STACK_SCHEMA.split(", ")])
 
     return f.mapInPandas(run, STACK_SCHEMA)
 
 
 def complete_stack(decoded: DataFrame) -> DataFrame:
-    """Decoded files plus one row per missing section; files whose shape differs from the stack's first readable one are corrupt."""
-    first = decoded.where("status = 'ok'").groupBy("dataset_id").agg(F.min(F.struct("z_abs", "h", "w")).alias("p"))
+    """One row per section: of several files with one number the last name counts, a number without a file is missing, and a file
+    whose shape or type differs from the stack's first readable section is corrupt."""
+    last = decoded.groupBy("dataset_id", "z_abs").agg(F.max("path").alias("path"))
+    decoded = decoded.join(last, ["dataset_id", "z_abs", "path"], "left_semi")
+    first = decoded.where("status = 'ok'").groupBy("dataset_id").agg(F.min(F.struct("z_abs", "h", "w", "dtype")).alias("p"))
     span = decoded.groupBy("dataset_id").agg(F.min("z_abs").alias("_lo"), (F.max("z_abs") + 1).alias("_hi"))
     grid = range_rows(span, F.col("_lo"), F.col("_hi"), 1, "z_abs")
     j = grid.join(decoded, ["dataset_id", "z_abs"], "left").join(first, "dataset_id", "left")
-    odd = (F.col("h") != F.col("p.h")) | (F.col("w") != F.col("p.w"))
+    odd = (F.col("h") != F.col("p.h")) | (F.col("w") != F.col("p.w")) | (F.col("dtype") != F.col("p.dtype"))
     status = F.when(F.col("status").isNull(), "missing").when((F.col("status") == "ok") & odd, "corrupt").otherwise(F.col("status"))
     return j.select("dataset_id", (F.col("z_abs") - F.col("_lo")).alias("z"), "z_abs", status.alias("status"), "h", "w", "dtype", F.when(status == "ok", F.col("payload")).alias("payload"), "error")
 

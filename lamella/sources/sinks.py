@@ -4,15 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PERSIST_KEYS = ["run_id", "dataset_id"]
+PERSIST_KEYS = ["run_id", "dataset_id", "block_id"]
 INDEX_COLUMNS = ["file", "label_file", "label", "partition", "block_id", "z0", "z1", "y0", "y1", "x0", "x1", "grade", "quality", "qc_run", "extra"]
 
 
 def persist_run(tables: dict[str, DataFrame], root: str) -> None:
-    """Write the result tables of a run. Only the (run, dataset) partitions present in the data are replaced, so a rerun
-    replaces its own rows and nothing else. Rows are clustered by block inside a partition."""
+    """Write the result tables of a run. Only the (run, dataset, block) partitions present in the data are replaced, so a rerun of one
+    block replaces its own rows and nothing else."""
     for name, df in tables.items():
-        (df.repartition(*PERSIST_KEYS, "block_id").sortWithinPartitions("block_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (df.repartition(*PERSIST_KEYS).sortWithinPartitions(*PERSIST_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*PERSIST_KEYS).parquet(f"{root}/{name}"))
 
 

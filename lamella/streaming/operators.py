@@ -108,12 +108,16 @@ def read_json_log(spark, path: str, schema: str) -> DataFrame:
     """JSON-lines log whose last line may be torn by an interrupted append.
 
     A damaged line is dropped only when it is the unterminated tail of its file; anywhere else reading fails instead of
-    returning a wrong history. Only files that contain a damaged line are looked at again."""
+    returning a wrong history, also when a damaged line reads like the torn tail. Only the files that hold a damaged line are read whole."""
     lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
     parsed = lines.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).where(F.length(F.trim("value")) > 0)
-    bad = parsed.where("r._bad IS NOT NULL").select("file", "value")
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.element_at(F.split(F.decode("content", "UTF-8"), "\n"), -1).alias("tail"))
-    torn = files.join(bad.select("file").distinct(), "file", "left_semi").where("tail <> ''").select("file", F.col("tail").alias("value"))
+    bad = parsed.where("r._bad IS NOT NULL").groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
+    damaged = [r["file"] for r in bad.where("n = 1").select("file").collect()]  # files that a crash left behind
+    if damaged:
+        files = spark.read.format("binaryFile").load(damaged).select(F.col("path").alias("file"), F.element_at(F.split(F.decode("content", "UTF-8"), "\n"), -1).alias("tail"))
+        torn = files.join(bad.where("n = 1"), "file").where("tail = value AND tail <> ''").select("file", "value")
+    else:
+        torn = bad.where("n < 0").select("file", "value")
     verdict = parsed.join(torn.withColumn("_torn", F.lit(True)), ["file", "value"], "left")
     checked = verdict.withColumn("_drop", F.when(F.col("r._bad").isNull(), F.lit(False)).when(F.col("_torn"), F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit("damaged log line in "), "file")).cast("boolean")))

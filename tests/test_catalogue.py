@@ -18,6 +18,11 @@ def test_a_registered_check_runs_with_overrides(spark):
 
 
 def test_model_runs_per_item_and_survives_failures(spark):
-    items = spark.createDataFrame([(0, "b", 4), (1, "b", 0)], "i long, block_id string, n long")
-    got = {r.i: (r.v, r.state) for r in run_model(items, lambda r: (100 / r.n,), "v double", ["i", "block_id"]).collect()}
-    assert got == {0: (25.0, "ok"), 1: (None, "fail")}
+    def divided(batch):
+        if (batch["n"] == 0).any():
+            raise ValueError("division by zero")
+        return (100 / batch["n"]).to_frame("v")
+
+    items = spark.createDataFrame([(0, "b", 4), (1, "b", 0), (2, "b", 5)], "i long, block_id string, n long")
+    got = {r.i: (r.v, r.state) for r in run_model(items, divided, "v double", ["i", "block_id"]).collect()}
+    assert got == {0: (25.0, "ok"), 1: (None, "fail"), 2: (20.0, "ok")}

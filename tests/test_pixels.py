@@ -57,6 +57,27 @@ def test_components_across_tiles(spark, conn):
     assert all(r.component == code(want[r.z, r.y, r.x]) for r in got)
 
 
+def test_components_of_a_long_snake_converge(spark):
+    px = snake(161)  # tiles of 2 pixels: a chain of thousands of open edges
+    df = spark.createDataFrame(list(px), "z long, y long, x long")
+    assert C.label_components(df, 4, tile=2).select("component").distinct().count() == 1
+
+
+def test_pixel_codes_do_not_overflow_silently(spark):
+    for z, y, x in ((1 << 18, 0, 0), (0, 1 << 20, 0), (0, 0, 1 << 20), (-1, 0, 0)):
+        with pytest.raises(Exception, match="pixel out of range"):
+            C.label_components(spark.createDataFrame([(z, y, x)], "z long, y long, x long"), 8).collect()
+
+
+def test_unsigned_ids_stay_apart(spark):
+    from decimal import Decimal
+
+    big = [Decimal(2**63), Decimal(2**64 - 1), Decimal(1)]
+    df = spark.createDataFrame([(0, 0, k, v) for k, v in enumerate(big)], "z long, y long, x long, id decimal(20,0)")
+    got = sorted((r.x, r.id, r.component) for r in C.label_components(df, 8, "id").collect())
+    assert got == [(k, v, k) for k, v in enumerate(big)]
+
+
 def test_label_mask_kernel():
     rnd = np.random.default_rng(0)
     m = rnd.random((30, 31)) < 0.5

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.operators.delivery import write_export
+from lamella.operators.delivery import read_export, write_export
 from lamella.operators.stats import ingest_sections
 from lamella.sources import imagestack as I
 from lamella.sources import sinks as K
@@ -57,13 +57,24 @@ def test_npy_axes_and_chunks(spark, scratch):
     assert np.array_equal(got[1, 4], (a + 1)[1].ravel()) and len(got) == 4
 
 
+def test_last_name_counts_and_other_types_are_corrupt(spark, scratch):
+    d = os.path.join(scratch, "vol")
+    os.makedirs(d)
+    pgm = lambda top, px: f"P5 2 1 {top}\n".encode() + px
+    for name, data in (("a_0001", pgm(255, b"ab")), ("b_0001", pgm(255, b"cd")), ("a_0002", pgm(255, b"ef")), ("a_0003", pgm(65535, b"abcd"))):
+        open(os.path.join(d, name + ".pgm"), "wb").write(data)
+    got = {r.z_abs: (r.status, None if r.payload is None else bytes(r.payload)) for r in I.complete_stack(I.read_stack(spark, d, "*.pgm")).collect()}
+    assert got == {1: ("ok", b"cd"), 2: ("ok", b"ef"), 3: ("corrupt", None)}
+
+
 def test_persist_replaces_only_its_partition(spark, scratch):
     mk = lambda run, n: spark.createDataFrame([(run, "d", f"b{i}", i) for i in range(n)], "run_id int, dataset_id string, block_id string, v int")
     K.persist_run({"t": mk(1, 3)}, scratch)
     K.persist_run({"t": mk(2, 5)}, scratch)
-    K.persist_run({"t": mk(1, 2)}, scratch)
-    got = {r.run_id: r["count"] for r in spark.read.parquet(f"{scratch}/t").groupBy("run_id").count().collect()}
-    assert got == {1: 2, 2: 5}
+    K.persist_run({"t": mk(1, 2).where("v = 1").selectExpr("run_id", "dataset_id", "block_id", "v + 10 AS v")}, scratch)
+    got = sorted((r.run_id, r.block_id, r.v) for r in spark.read.parquet(f"{scratch}/t").where("run_id = 1").collect())
+    assert got == [(1, "b0", 0), (1, "b1", 11), (1, "b2", 2)]
+    assert spark.read.parquet(f"{scratch}/t").where("run_id = 2").count() == 5
 
 
 def test_export_resumes(spark, scratch):
@@ -72,7 +83,8 @@ def test_export_resumes(spark, scratch):
     assert write_export(planned.where("z0 < 8"), sec, f"{scratch}/x")["n_new"] == 2
     assert write_export(planned, sec, f"{scratch}/x")["n_new"] == 1
     assert write_export(planned, sec, f"{scratch}/x")["n_new"] == 0
-    out = spark.read.parquet(f"{scratch}/x/sections")
+    sec.limit(1).selectExpr("block_id", "z", "0L AS z0", "4L AS z1", "payload").write.parquet(f"{scratch}/x/sections/attempt=broken")  # broke off before its manifest
+    out = read_export(spark, f"{scratch}/x")
     assert out.count() == 12 and out.select("z").distinct().count() == 12
 
 
@@ -108,9 +120,24 @@ def test_damage_in_the_middle_is_refused(spark, scratch):
         read_json_log(spark, scratch, SCHEMA).collect()
 
 
+def test_damage_that_reads_like_the_tail_is_refused(spark, scratch):
+    open(os.path.join(scratch, "a.jsonl"), "w").write('{"seq": 1, "act\n{"seq": 2, "action": "edit", "by": "x"}\n{"seq": 1, "act')
+    with pytest.raises(Exception, match="damaged log line"):
+        read_json_log(spark, scratch, SCHEMA).collect()
+
+
 def test_segment_properties_skip_bad_cells(spark):
     doc = {"inline": {"ids": ["9007199254740993", "2", "3"], "properties": [
         {"id": "num_voxels", "type": "number", "values": [10, "x"]}, {"id": "t", "type": "tags", "tags": ["a", "b"], "values": [[0, 1, 7], []]}]}}
     df = spark.createDataFrame([("s", json.dumps(doc))], "source string, doc string")
     rows = {str(r.id): (r.features, r.tags) for r in I.parse_properties(df).collect()}
     assert rows == {"9007199254740993": ({"num_voxels": 10.0}, ["a", "b"]), "2": ({}, []), "3": ({}, [])}
+
+
+def test_blocks_of_other_datasets_are_no_neighbours(spark):
+    from lamella.operators.blocks import face_neighbours
+
+    rows = [("d1", "a", 0, 4, 0, 8, 0, 8), ("d1", "b", 4, 8, 0, 8, 0, 8), ("d2", "b", 4, 8, 0, 8, 0, 8), ("d2", "c", 8, 12, 0, 8, 0, 8)]
+    df = spark.createDataFrame(rows, "dataset_id string, block_id string, " + ", ".join(f"{a}_{e} long" for a in "zyx" for e in ("start", "end")))
+    got = sorted((r.dataset_id, r.a_block_id, r.b_block_id) for r in face_neighbours(df, {"z": 4, "y": 8, "x": 8}).collect())
+    assert got == [("d1", "a", "b"), ("d2", "b", "c")]
