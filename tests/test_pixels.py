@@ -169,30 +169,63 @@ def test_registration_finds_a_known_shift():
     rng = np.random.default_rng(2)
     big = K.gaussian(rng.random((160, 160)), 1.5)
     a, b = K.prepare(big[20:116, 20:116], 2.0), K.prepare(big[25:121, 17:113], 2.0)
-    r = K.register(a, b)
-    assert abs(r["dy"] - 5) < 0.3 and abs(r["dx"] + 3) < 0.3 and r["ncc"] > 0.8 > r["ncc0"]
-    same = K.register(a, a)
-    assert same["ncc"] > 0.985 and abs(same["dy"]) + abs(same["dx"]) <= 1
+    r = K.register(np.stack([a, a]), np.stack([b, a]))  # a pair that moved and one that did not, as one stack
+    assert abs(r["dy"][0] - 5) < 0.3 and abs(r["dx"][0] + 3) < 0.3 and r["ncc"][0] > 0.8 > r["ncc0"][0]
+    assert r["ncc"][1] > 0.985 and abs(r["dy"][1]) + abs(r["dx"][1]) <= 1
+    assert K.moved_ncc(a[None], b[None], np.array([96]), np.array([0]))[0] == 0.0
+    for dy, dx in ((5, -3), (0, 0), (-40, 17)):
+        p, q = a[max(dy, 0) : 96 + min(dy, 0), max(dx, 0) : 96 + min(dx, 0)], b[max(-dy, 0) : 96 + min(-dy, 0), max(-dx, 0) : 96 + min(-dx, 0)]
+        assert abs(K.moved_ncc(a[None], b[None], np.array([dy]), np.array([dx]))[0] - np.corrcoef(p.ravel(), q.ravel())[0, 1]) < 1e-6
 
 
 def test_affine_and_signals():
     g = np.array([(y, x) for y in (12, 36, 60, 84) for x in (12, 36, 60, 84)], float)
     field = np.column_stack([g, 0.04 * (g[:, 0] - 48) + 1.0, np.full(len(g), -2.0)])
-    fit = K.affine_residual(field, 96, 96)
-    assert fit["residual"] < 1e-9 and abs(fit["strain"] - 0.04) < 1e-6
-    assert K.affine_residual(field[:3], 96, 96) is None
+    few = field.copy()
+    few[3:] = np.nan
+    residual, strain = K.affine_fits(np.stack([field, few]), 96, 96)
+    assert residual[0] < 1e-9 and abs(strain[0] - 0.04) < 1e-6
+    assert np.isnan(residual[1]) and np.isnan(strain[1])
     t = np.full((96, 96), 0.5)
     t[40] += 0.3
-    band, axis, at = K.band_signal(t, 0.12)
-    assert axis == "row" and at == 40 and abs(band - 0.3) < 1e-9
+    band, axis, at = K.bands(np.stack([t, t.T]), 0.12)
+    assert axis.tolist() == [0, 1] and at.tolist() == [40, 40] and np.abs(band - 0.3).max() < 1e-9
     y, x = np.mgrid[-1:1:96j, -1:1:96j]
-    assert abs(K.ramp_signal(0.1 * y + 0.05 * x) - 2 * np.hypot(0.1, 0.05)) < 1e-6
+    assert abs(K.ramps((0.1 * y + 0.05 * x)[None])[0] - 2 * np.hypot(0.1, 0.05)) < 1e-6
     rng = np.random.default_rng(3)
     tissue = 0.5 + 0.05 * rng.standard_normal((128, 128))
     dirty = tissue.copy()
     dirty[30:48, 50:70] = 0.99
-    assert K.contamination_blobs(dirty, {"sigma_k": 3.5, "flat_quantile": 0.15, "open_iter": 2, "min_blob_px": 12, "min_frac": 0.0008, "max_blob_frac": 0.25, "area_ref": 0.02})[0] < 0.5
-    assert K.contamination_blobs(tissue, {"sigma_k": 3.5, "flat_quantile": 0.15, "open_iter": 2, "min_blob_px": 12, "min_frac": 0.0008, "max_blob_frac": 0.25, "area_ref": 0.02})[0] == 1.0
+    p = {"sigma_k": 3.5, "flat_quantile": 0.15, "open_iter": 2, "min_blob_px": 12, "min_frac": 0.0008, "max_blob_frac": 0.25, "area_ref": 0.02}
+    score, share, n, note = K.blobs(np.stack([dirty, tissue, np.full((128, 128), 0.5)]), p)
+    assert score[0] < 0.5 and n[0] == 1 and score[1] == 1.0 and note == [None, "no_blob", None] and score[2] == 1.0 and share[2] == 0.0
+    stripes = np.tile(0.5 + 0.1 * np.sin(np.arange(96) * 2 * np.pi / 8), (96, 1))
+    an, angle = K.directions(np.stack([stripes, rng.standard_normal((96, 96)), np.zeros((96, 96))]), 12)
+    assert an[0] > 0.95 and an[1] < 0.2 and an[2] == 0.0 and min(angle[0], 180 - angle[0]) < 15
+
+
+@pytest.mark.parametrize("conn", [4, 8])
+def test_areas_by_runs_equal_the_pixel_kernel(conn):
+    rng = np.random.default_rng(conn)
+    for shape, p in (((30, 40), 0.5), ((1, 50), 0.6), ((50, 1), 0.4), ((20, 20), 0.0), ((20, 20), 1.0)):
+        m = rng.random(shape) < p
+        lab = K.label_mask(m, conn)
+        got = K.mask_areas(m, conn)
+        want = []
+        for k in range(1, lab.max() + 1):
+            y, x = np.nonzero(lab == k)
+            want.append((len(y), x.min(), x.max() + 1, y.min(), y.max() + 1, x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()))
+        assert sorted(want) == sorted(zip(*(got[f].tolist() for f in ("size", "x0", "x1", "y0", "y1", "sx", "sy", "sxx", "syy", "sxy"))))
+
+
+def test_statistics_of_every_pixel(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(K, "STRIP", 7)
+    for a, top in ((rng.integers(0, 256, (40, 33)).astype(np.uint8), 255.0), (rng.integers(0, 65536, (40, 33)).astype(np.uint16), 65535.0), (rng.random((40, 33)), 1.0)):
+        s, f = K.section_statistics(a, top), a.astype(float) / top
+        lap = K.laplacian(f)
+        want = {"mean": f.mean(), "std": f.std(), "min": f.min(), "max": f.max(), "lapvar": lap.var(), **dict(zip(("p1", "p50", "p99"), np.percentile(f, [1, 50, 99])))}
+        assert all(abs(s[k] - v) < 1e-9 for k, v in want.items())
 
 
 def test_section_statistics_ignore_fill():
