@@ -5,6 +5,8 @@ val, then test). Deficits d1 >= d2 >= d3 therefore fill in three phases: only th
 the two alternate, then all three rotate. The partition of the k-th block is a formula of k and the three deficits."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,13 @@ USABLE = ("A", "B", "C")
 
 
 def parse_ratios(spec) -> tuple[float, float, float]:
-    parts = [float(x) for x in spec.replace(":", ",").split(",") if x.strip()] if isinstance(spec, str) else [float(x) for x in spec]
-    if len(parts) != 3 or min(parts) < 0 or sum(parts) <= 0:
-        raise ValueError("ratios must be three non-negative numbers: train, val, test")
-    return tuple(p / sum(parts) for p in parts)
+    """Shares of train, val and test from "8:1:1", "0.8, 0.1, 0.1" or three numbers; they may be given in any unit."""
+    weights = [float(w) for w in (re.findall(r"[^\s,:]+", spec) if isinstance(spec, str) else spec)]
+    total = sum(weights)
+    if len(weights) != len(PARTITIONS) or any(w < 0 for w in weights) or not total > 0:
+        raise ValueError(f"three non-negative shares are needed, one each for {', '.join(PARTITIONS)}")
+    train, val, test = (w / total for w in weights)
+    return train, val, test
 
 
 def target_columns(n: Column, ratios) -> dict[str, Column]:
