@@ -4,16 +4,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PERSIST_KEYS = ["run_id", "dataset_id", "block_id"]
+from ..session import cut_lineage
+
+PERSIST_KEYS = ["run_id", "dataset_id"]
 INDEX_COLUMNS = ["file", "label_file", "label", "partition", "block_id", "z0", "z1", "y0", "y1", "x0", "x1", "grade", "quality", "qc_run", "extra"]
 
 
 def persist_run(tables: dict[str, DataFrame], root: str) -> None:
-    """Write the result tables of a run. Only the (run, dataset, block) partitions present in the data are replaced, so a rerun of one
-    block replaces its own rows and nothing else."""
+    """Write the result tables of a run. Rows of the (run, dataset, block) in the data are replaced and nothing else: other blocks of a
+    touched (run, dataset) partition are kept with the new rows. One writer at a time per run and dataset."""
     for name, df in tables.items():
-        (df.repartition(*PERSIST_KEYS).sortWithinPartitions(*PERSIST_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*PERSIST_KEYS).parquet(f"{root}/{name}"))
+        path = f"{root}/{name}"
+        if path_exists(df.sparkSession, path):
+            old = df.sparkSession.read.schema(df.schema).parquet(path)
+            rest = old.join(df.select(*PERSIST_KEYS).distinct(), PERSIST_KEYS, "left_semi").join(df.select(*PERSIST_KEYS, "block_id").distinct(), [*PERSIST_KEYS, "block_id"], "left_anti")
+            df = cut_lineage(df.unionByName(rest))  # read before its partitions are overwritten
+        (df.repartition(*PERSIST_KEYS, F.pmod(F.xxhash64("block_id"), F.lit(16))).sortWithinPartitions("block_id").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*PERSIST_KEYS).parquet(path))
 
 
 def append_lineage(df: DataFrame, root: str, name: str) -> None:
