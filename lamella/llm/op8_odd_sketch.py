@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .graph import linked_in_buckets
+from .graph import linked_in_buckets, sketched
+from .storage import picked, stored
 from .text import SLICE, mix, shingles, words
 
 K, BITS, BANDS, ROWS = 128, 512, 56, 6
@@ -143,17 +143,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, n_shingles, component: one row per row of `docs`."""
-    seen = cut_lineage(described(docs, width, key, text))
+    seen = stored(described(docs, width, key, text))
     some = seen.where("n > 0 AND doc IS NOT NULL")
     classes = some.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
     reps = some.join(classes, ["d1", "d2"]).where("doc = rep").dropDuplicates(["d1", "d2"]).select("doc", "sig", "sketch")
 
     def prepare(wanted):
-        texts = cut_lineage(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).join(wanted, "doc", "left_semi"))
-        sketches = cut_lineage(reps.select("doc", "sketch").join(wanted, "doc", "left_semi"))
-        return lambda pairs: _alike(pairs, sketches, percent), lambda pairs: _confirmed(pairs, texts, width, percent)
+        texts = stored(picked(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")), wanted, ["doc"]))
+        sketches = stored(picked(reps.select("doc", "sketch"), wanted, ["doc"]))
+        return lambda pairs: _alike(pairs, sketches, percent), lambda pairs: _confirmed(pairs, texts, width, percent), lambda ids: sketched(texts, ids, lambda t: _set(t, width))
 
-    final = linked_in_buckets(band_rows(reps), prepare)
+    final = linked_in_buckets(band_rows(reps), prepare, percent / 100)
     member = seen.where("doc IS NOT NULL").join(classes, ["d1", "d2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc")).otherwise(F.col("doc")).alias("rep"))
     nulls = seen.where("doc IS NULL").select("doc", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
     out = member.join(final.toDF("rep", "component"), "rep", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
