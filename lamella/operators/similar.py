@@ -69,13 +69,21 @@ def find_similar(space: DataFrame, target: DataFrame, k: int, order: list[str],
 # ----------------------------------------------------------------------------- exact nearest-neighbour join
 
 
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a to all rows of b by one matrix product; off by rounding only."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2.0 * (a @ b.T), 0.0)
+
+
+def _rows(column: pd.Series, width: int) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, width))
+
+
 def _assign(pivots: np.ndarray):
     def run(batches):
         for pdf in batches:
-            m = np.stack(pdf["fv"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, pivots.shape[1]))
-            d = np.sqrt(np.maximum(((m[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
-            cell = d.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
-            yield pdf.assign(cell=cell.astype("int32"), d_pivot=d[np.arange(len(pdf)), cell] if len(pdf) else [])
+            m = _rows(pdf["fv"], pivots.shape[1])
+            cell = _squared(m, pivots).argmin(axis=1) if len(m) else np.zeros(0, dtype=int)
+            yield pdf.assign(cell=cell.astype("int32"), d_pivot=np.sqrt(((m - pivots[cell]) ** 2).sum(axis=1)))
 
     return run
 
@@ -85,27 +93,33 @@ def _top(k: int):
         if not len(points) or not len(queries):
             return pd.DataFrame({"qid": [], "pid": [], "distance": []}).astype({"qid": "int64", "pid": "int64", "distance": "float64"})
         points = points.sort_values("pid")
-        p = np.stack(points["fv"].to_numpy()).astype(np.float64)
+        p = _rows(points["fv"], 0)
         pid, pg = points["pid"].to_numpy(), points["grp"].to_numpy()
+        qid, qg, q = queries["qid"].to_numpy(), queries["grp"].to_numpy(), _rows(queries["fv"], 0)
         out = []
-        for qid, qg, fv in zip(queries["qid"].to_numpy(), queries["grp"].to_numpy(), queries["fv"]):
-            d = np.sqrt(((p - np.asarray(fv, dtype=np.float64)) ** 2).sum(axis=1))
-            d[(pid == qid) | (pg == qg)] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"qid": qid, "pid": pid[best], "distance": d[best]}))
+        for at in range(0, len(q), 32):  # a block of queries against the whole chunk
+            to = slice(at, at + 32)
+            d = np.sqrt(((p[None] - q[to, None]) ** 2).sum(axis=2))
+            d[(pid[None] == qid[to, None]) | (pg[None] == qg[to, None])] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(d, best, 1)
+            i, j = np.nonzero(np.isfinite(near))
+            out.append(pd.DataFrame({"qid": qid[to][i], "pid": pid[best[i, j]], "distance": near[i, j]}))
         return pd.concat(out)
 
     return run
 
 
-def knn_join(points: DataFrame, queries: DataFrame, k: int, n_pivots: int = 32, chunk: int = 2048) -> DataFrame:
+def knn_join(points: DataFrame, queries: DataFrame, k: int, n_pivots: int | None = None, chunk: int = 2048) -> DataFrame:
     """Exact k nearest points of every query: (qid, pid, distance, rank). `points`: pid, grp, fv; `queries`: qid, grp, fv;
     points of the query's own `grp` do not count.
 
     Points are cut into cells around pivots and cells into chunks of about `chunk` points. A query first visits its own
     cell; its k-th distance then rules out every cell whose ball is farther away (triangle inequality). A task sees one
-    chunk of points and one of queries and returns k rows per query, so no pair list ever exists."""
+    chunk of points and one of queries and returns k rows per query, so no pair list ever exists. The pivots grow with the square
+    root of the points, up to 1024 (they are known to every task)."""
+    if n_pivots is None:
+        n_pivots = min(1024, max(32, math.isqrt(points.count())))
     pv = np.array([r[0] for r in points.orderBy(F.xxhash64("pid"), "pid").limit(n_pivots).select("fv").collect()], dtype=np.float64)
     if not len(pv):
         return queries.select("qid", F.lit(None).cast("long").alias("pid"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).limit(0)
@@ -113,8 +127,8 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, n_pivots: int = 32,
     qc = queries.select("qid", "grp", "fv").mapInPandas(_assign(pv), "qid long, grp string, fv array<double>, cell int, d_pivot double")
     cells = {r["cell"]: (r["n"], r["r"]) for r in pc.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d_pivot").alias("r")).collect()}  # one row per pivot
     q_cells = {r["cell"]: r["count"] for r in qc.groupBy("cell").count().collect()}  # one row per pivot
-    chunks = F.create_map(*[x for c, (n, _) in cells.items() for x in (F.lit(c), F.lit(max(1, -(-n // chunk))))])
-    pc = pc.withColumn("part", F.pmod(F.xxhash64("pid"), F.element_at(chunks, F.col("cell"))).cast("int"))
+    chunks = F.array(*[F.lit(max(1, -(-cells.get(c, (0, 0))[0] // chunk))) for c in range(len(pv))])
+    pc = pc.withColumn("part", F.pmod(F.xxhash64("pid"), F.get(chunks, F.col("cell"))).cast("int"))
     # queries of neighbouring cells travel together, about `chunk` per part; a cell with more is split
     parts, first, room = {}, 0, chunk
     for c, n in sorted(q_cells.items()):
@@ -126,12 +140,11 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, n_pivots: int = 32,
             if n > room:
                 first, room = first + 1, chunk
             parts[c], room = (first, 1), room - n
-    base = F.create_map(*[x for c, (f, _) in (parts or {0: (0, 1)}).items() for x in (F.lit(c), F.lit(f))])
-    split = F.create_map(*[x for c, (_, m) in (parts or {0: (0, 1)}).items() for x in (F.lit(c), F.lit(m))])
-    qc = qc.withColumn("qpart", (F.element_at(base, F.col("cell")) + F.pmod(F.xxhash64("qid"), F.element_at(split, F.col("cell")))).cast("long"))
+    base, split = (F.array(*[F.lit(parts.get(c, (0, 1))[i]) for c in range(len(pv))]) for i in (0, 1))
+    qc = qc.withColumn("qpart", (F.get(base, F.col("cell")) + F.pmod(F.xxhash64("qid"), F.get(split, F.col("cell")))).cast("long"))
 
     def visit(q):  # q has a `cell` to visit
-        q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(chunks, F.col("cell")) - 1)))
+        q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("cell")) - 1)))
         q = q.select("qid", "grp", "fv", F.col("cell").alias("w_cell"), F.col("part").alias("w_part"), F.col("qpart").alias("w_qpart"))
         visits = q.select(F.col("w_cell").alias("cell"), F.col("w_part").alias("part"), F.col("w_qpart").alias("qpart")).distinct()
         p = pc.join(visits, ["cell", "part"])  # points go only where some query of the chunk wants them
@@ -148,14 +161,10 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, n_pivots: int = 32,
         radius = np.array([cells[c][1] for c in ids])
         centre = pv[ids]
         for pdf in batches:
-            rows = []
-            for i, (fv, home, theta) in enumerate(zip(pdf["fv"], pdf["cell"].to_numpy(), pdf["theta"].to_numpy())):
-                d = np.sqrt(((centre - np.asarray(fv, dtype=np.float64)) ** 2).sum(axis=1))
-                for j in np.flatnonzero(d - radius <= theta * (1 + 1e-9) + 1e-9):
-                    if ids[j] != home:
-                        rows.append((i, ids[j]))
-            at = [r[0] for r in rows]
-            yield pdf.iloc[at][["qid", "grp", "fv", "qpart"]].assign(cell=np.array([r[1] for r in rows], dtype="int32"))
+            d = np.sqrt(_squared(_rows(pdf["fv"], centre.shape[1]), centre))
+            reach = pdf["theta"].to_numpy()[:, None] * (1 + 1e-9) + 1e-6 * (1 + d)  # the slack covers the rounding of the distances
+            i, j = np.nonzero((d - radius[None] <= reach) & (np.array(ids)[None] != pdf["cell"].to_numpy()[:, None]))
+            yield pdf.iloc[i][["qid", "grp", "fv", "qpart"]].assign(cell=np.array(ids, dtype="int32")[j])
 
     far = bound.select("qid", "grp", "fv", "qpart", "cell", "theta").mapInPandas(others, "qid long, grp string, fv array<double>, qpart long, cell int")
     near = own.select("qid", F.explode("b").alias("e")).select("qid", F.col("e.pid").alias("pid"), F.col("e.distance").alias("distance"))
