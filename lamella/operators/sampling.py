@@ -96,9 +96,14 @@ def thin_clean(slices: DataFrame, max_points: int) -> DataFrame:
     return slices.where("NOT passed").unionByName(good)
 
 
+def draw_hash(seed: int, *key: Column) -> Column:
+    """60 bits of a digest of seed and key, as other systems can compute them as well."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])), 1, 15), 16, 10).cast("long")
+
+
 def random_offset(seed: int, lo: Column, hi: Column, *key: Column) -> Column:
     """Uniform integer in [lo, hi) from a hash of the key."""
-    return lo + F.pmod(F.xxhash64(F.lit(seed), *key), F.greatest(hi - lo, F.lit(1)))
+    return lo + F.pmod(draw_hash(seed, *key), F.greatest(hi - lo, F.lit(1)))
 
 
 def sample_windows(blocks: DataFrame, windows: DataFrame, size: tuple[int, int, int], n: int, seed: int = 0) -> DataFrame:
@@ -110,7 +115,7 @@ def sample_windows(blocks: DataFrame, windows: DataFrame, size: tuple[int, int,
     rounds = 1 if total >= n else (-(-n // total) if total else 0)
     draws = cand.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(max(rounds, 1) - 1))))
     key = [F.col("block_id"), F.col("z0"), F.col("_round")]
-    pick = draws.orderBy("_round", F.xxhash64(F.lit(seed), *key), "block_id", "z0").limit(n)
+    pick = draws.orderBy("_round", draw_hash(seed, *key), "block_id", "z0").limit(n)
     y0 = random_offset(seed + 1, F.col("y_start"), F.col("y_end") - dy + 1, *key)
     x0 = random_offset(seed + 2, F.col("x_start"), F.col("x_end") - dx + 1, *key)
     return with_box(pick.withColumn("y0", y0).withColumn("x0", x0), size).drop("_round")
@@ -126,7 +131,7 @@ def raw_windows(blocks: DataFrame, windows: DataFrame, size: tuple[int, int, int
     dz, dy, dx = size
     fit = blocks.where((F.col("y_end") - F.col("y_start") >= dy) & (F.col("x_end") - F.col("x_start") >= dx))
     key = [F.col("block_id"), F.col("z0")]
-    c = spread_join(windows, fit, ["block_id"], F.floor(F.col("z0") / 4096).cast("long")).withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    c = spread_join(windows, fit, ["block_id"], F.floor(F.col("z0") / 4096).cast("long")).withColumn("_h", draw_hash(seed, *key))
     c = c.withColumn("y0", random_offset(seed + 1, F.col("y_start"), F.col("y_end") - dy + 1, *key)).withColumn("x0", random_offset(seed + 2, F.col("x_start"), F.col("x_end") - dx + 1, *key))
     cell = [F.floor(F.col(a) / max(1, d // 2)).alias(f"_{a}") for a, d in (("z0", dz), ("y0", dy), ("x0", dx))]
     first = c.groupBy("block_id", *cell).agg(F.min(F.struct("_h", "z0", "y0", "x0", "grade")).alias("f"))
@@ -161,7 +166,7 @@ def weighted_shard_draws(shards: DataFrame, dz: int, n: int, seed: int = 0) -> D
     total = s.agg(F.max("_hi")).first()[0]
     if not total:
         return s.select("block_id", "z0").withColumn("draw", F.lit(0)).limit(0)
-    draws = shards.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(int(total))).alias("_at"))
+    draws = shards.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(draw_hash(seed, F.col("id")), F.lit(int(total))).alias("_at"))
     cells = s.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor((F.col("_hi") - 1) / width))))
     d = draws.withColumn("_c", F.floor(F.col("_at") / width))
     j = d.join(cells, "_c").where((F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))

@@ -8,7 +8,7 @@ from ..session import cut_lineage
 from .components import component_stats
 from .labels import edge_flags
 from .ordered import spread_join
-from .sampling import random_offset, with_box
+from .sampling import draw_hash, random_offset, with_box
 
 
 def clamp(v: Column, lo: Column, hi: Column) -> Column:
@@ -54,7 +54,7 @@ def candidate_windows(windows: DataFrame, blocks: DataFrame, size: tuple[int, in
     key = [F.col("block_id"), F.col("z0"), F.col("_round")]
     cand = spread_join(windows, fit, ["block_id"], F.floor(F.col("z0") / 4096).cast("long"))
     rounds = max(1, -(-budget // max(1, cand.count())))
-    c = cand.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    c = cand.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_h", draw_hash(seed, *key))
     c = c.withColumn("y0", random_offset(seed + 1, F.col("y_start"), F.col("y_end") - dy + 1, *key)).withColumn("x0", random_offset(seed + 2, F.col("x_start"), F.col("x_end") - dx + 1, *key))
     c = c.orderBy("_round", "_h", "block_id", "z0").limit(budget)
     first = c.groupBy("block_id", "z0", F.floor(F.col("y0") / dedupe), F.floor(F.col("x0") / dedupe)).agg(F.min(F.struct("_h", "y0", "x0")).alias("f"))

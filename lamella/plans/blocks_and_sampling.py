@@ -213,18 +213,37 @@ def _train_windows(spark, sf, dz=4):
     return allowed_windows(section_blocks(s), s, dz)
 
 
-@query("shard_draws", "SMP14 weighted")
+def _draw(seed, *key):
+    return f"CAST(concat('0x', substr(md5(concat_ws(':', '{seed}', {', '.join(key)})), 1, 15)) AS BIGINT)"
+
+
+_RUNS = {"isl": """SELECT block_id, min(z) AS run_start, max(z) + 1 AS run_end, count(*) AS run_length FROM
+   (SELECT block_id, z, z - row_number() OVER (PARTITION BY block_id ORDER BY z) AS g FROM v_slices WHERE passed) GROUP BY block_id, g"""}
+_WINDOWS = {**_RUNS, "win": "SELECT w.*, y_start, y_end, x_start, x_end, grade FROM (SELECT block_id, unnest(range(run_start, run_end - 3)) AS z0 FROM isl WHERE run_length >= 4) w JOIN v_blocks b ON b.block_id = w.block_id"}
+
+
+@query("shard_draws", "SMP14 weighted", sql("v_slices", ctes={**_RUNS,
+    "sh": "SELECT block_id, z0, least(z0 + 16, run_end) - z0 - 3 AS w FROM (SELECT block_id, run_end, unnest(range(run_start, run_end, 16)) AS z0 FROM isl WHERE run_length >= 4)",
+    "p": "SELECT *, CAST(sum(w) OVER (ORDER BY substr(sha1(concat_ws(':', block_id, z0)), 1, 3), block_id, z0) AS BIGINT) AS hi FROM sh WHERE w >= 1",
+    "d": f"SELECT CAST(i AS BIGINT) AS draw, {_draw(7, 'i')} % (SELECT max(hi) FROM p) AS pos FROM (SELECT unnest(range(0, 256)) AS i)"}, body="""
+SELECT draw, block_id, z0 + pos - (hi - w) AS z0 FROM d JOIN p ON pos >= hi - w AND pos < hi"""))
 def shard_draws(spark, sf):
     from ..operators.runs import clean_runs, split_shards
 
     return M.weighted_shard_draws(split_shards(clean_runs(slices(spark, sf), ["block_id"], 4), 16), 4, 256, 7)
 
 
-@query("sample_windows", "SMP4")
+@query("sample_windows", "SMP4", sql("v_slices", "v_blocks", ctes={**_WINDOWS,
+    "dr": "SELECT *, unnest(range(0, (SELECT greatest(1, CAST(ceil(64e0 / count(*)) AS BIGINT)) FROM win))) AS r FROM win",
+    "pk": f"SELECT *, y_start + {_draw(2, 'block_id', 'z0', 'r')} % 897 AS y0, x_start + {_draw(3, 'block_id', 'z0', 'r')} % 897 AS x0 FROM dr ORDER BY r, {_draw(1, 'block_id', 'z0', 'r')}, block_id, z0 LIMIT 64"}, body="""
+SELECT block_id, z0, z0 + 4 AS z1, y0, y0 + 128 AS y1, x0, x0 + 128 AS x1 FROM pk"""))
 def sample_windows(spark, sf):
     return M.sample_windows(T.blocks(spark, sf), _train_windows(spark, sf), (4, 128, 128), 64, 1).select("block_id", "z0", "z1", "y0", "y1", "x0", "x1")
 
 
-@query("raw_windows", "SMP5")
+@query("raw_windows", "SMP5", sql("v_slices", "v_blocks", ctes={**_WINDOWS,
+    "c": f"SELECT *, {_draw(1, 'block_id', 'z0')} AS h, y_start + {_draw(2, 'block_id', 'z0')} % 897 AS y0, x_start + {_draw(3, 'block_id', 'z0')} % 897 AS x0 FROM win",
+    "f": "SELECT *, row_number() OVER (PARTITION BY block_id, z0 // 2, y0 // 64, x0 // 64 ORDER BY h, z0, y0, x0) AS rn FROM c"}, body="""
+SELECT block_id, z0, z0 + 4 AS z1, y0, y0 + 128 AS y1, x0, x0 + 128 AS x1 FROM (SELECT * FROM f WHERE rn = 1 ORDER BY h, block_id, z0 LIMIT 64)"""))
 def raw_windows(spark, sf):
     return M.raw_windows(T.blocks(spark, sf), _train_windows(spark, sf), (4, 128, 128), 64, 1).select("block_id", "z0", "z1", "y0", "y1", "x0", "x1")
