@@ -77,3 +77,21 @@ def plane_statistics(spark, sf):
     raw = t.select(F.col("block_id").alias("dataset_id"), "z", "h", "w", F.lit("uint8").alias("dtype"), grey.alias("payload"), "status")
     s = X.ingest_sections(raw, None, None)
     return s.select("block_id", "z", "bytes_read", *[F.round(c, 8).alias(c) for c in ("mean", "std", "min", "max", "p50", "p99", "frac_low_sat", "frac_mode")])
+
+
+@query("contamination_planted", "CHK10", sql("v_pixels", body="""
+SELECT DISTINCT concat('t_', y // 64, '_', x // 64) AS block_id, z, (y // 64 + x // 64 + z) % 3 = 0 AS dirty, CASE WHEN (y // 64 + x // 64 + z) % 3 = 0 THEN 1 ELSE 0 END AS n_blobs,
+  CASE WHEN (y // 64 + x // 64 + z) % 3 = 0 THEN 'found' ELSE 'no_blob' END AS note FROM v_pixels"""))
+def contamination_planted(spark, sf):
+    """Tissue-like planes made from the label tiles; every third one gets a bright, even spot of 16 x 20 pixels."""
+    t = tile_planes(spark, sf)
+    part = F.split("block_id", "_")
+    spot = (part[1].cast("long") + part[2].cast("long") + F.col("z")) % 3 == 0
+
+    def grey(v, i):
+        y, x = F.floor(i / 64), i % 64
+        inside = (y >= 10) & (y < 26) & (x >= 20) & (x < 40)
+        return F.when(spot & inside, F.lit(1.0)).otherwise(F.lit(0.45) + ((x * 7 + y * 13 + (v * 8).cast("long") * 31 + (x * y) % 11 * 5) % 17) / 170.0)
+
+    s = X.texture_signals(t.withColumn("px", F.transform("px", grey)), ["block_id", "z"], 64)
+    return s.select("block_id", "z", (F.col("contamination") < 1).alias("dirty"), "n_blobs", F.coalesce("note", F.lit("found")).alias("note"))
