@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .graph import linked_in_buckets
-from .text import SLICE, shingles, words
+from .graph import linked_in_buckets, sketched
+from .storage import picked, stored
+from .text import SLICE, columns, fresh, shingles, words
 
 K, WIDTH, BANDS = 128, 5, 32
 #: Target rows of a sorted range.
-RANGE_ROWS = 4000
+RANGE_ROWS = 1000
 
 
 @lru_cache(maxsize=1)
@@ -72,7 +72,7 @@ def _from_hex(column) -> np.ndarray:
 
 
 def fingerprints(rows: DataFrame, **texts: str) -> DataFrame:
-    """`rows` with one column more per given text column: fingerprints(rows, fingerprint="text")."""
+    """`rows` with one column more per given text column: fingerprints(rows, fingerprint="text"). Columns of these names are replaced."""
     names = list(texts)
 
     def run(*columns: pd.Series) -> pd.DataFrame:
@@ -83,7 +83,9 @@ def fingerprints(rows: DataFrame, **texts: str) -> DataFrame:
         return pd.DataFrame(out, columns=names, dtype=object)
 
     made = F.pandas_udf(run, ", ".join(f"`{n}` string" for n in names))
-    return rows.withColumn("_made", made(*[F.col(c).cast("string") for c in texts.values()])).select(*[F.col(f"`{c}`") for c in rows.columns], "_made.*")
+    (new,) = fresh(rows, "made")
+    out = rows.withColumn(new, made(*[F.col(c).cast("string") for c in texts.values()]))
+    return out.select(*columns(out, new, *names), f"{new}.*")
 
 
 def compared(a, b):
@@ -101,7 +103,7 @@ def with_next(docs: DataFrame, carry=lambda rows: rows, key: str = "doc_id", tex
     """key, text and what `carry` adds, and next_<name> of each but the key: that of the next smaller key; for the smallest, of the largest.
 
     Split points cut the keys into ranges of about RANGE_ROWS rows (ids alone are read for that; the driver gets a row per range). Each
-    range also gets a copy of the row that follows it, so every range is worked on by itself. `carry` runs within the ranges."""
+    range also gets a copy of the row that follows it, so every range is worked on by itself. Texts and what `carry` adds are shuffled once."""
     spark = docs.sparkSession
     low = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("_k"), F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -126,7 +128,7 @@ def with_next(docs: DataFrame, carry=lambda rows: rows, key: str = "doc_id", tex
     tail = led.join(F.broadcast(copies), "_k").select(F.col("_to").alias("_part"), F.lit(None).cast(docs.schema[key].dataType).alias(key), "_k", "text", F.lit(1).alias("_copy"))
     body = rows.select(placed("_k").alias("_part"), key, "_k", "text", F.lit(0).alias("_copy"))
     order = Window.partitionBy("_part").orderBy("_copy", F.desc("_k"), "text")
-    dealt = carry(body.unionByName(tail).repartitionByRange(max(1, len(tops)), "_part"))
+    dealt = carry(body.unionByName(tail))
     carried = [c for c in dealt.columns if c not in ("_part", "_k", "_copy", key)]
     led = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
     return led.where("_copy = 0").select(key, *carried, *[f"next_{c}" for c in carried])
@@ -136,7 +138,7 @@ def near(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "
     """doc, class, component for every document with words and a key: class is its smallest document of equal fingerprint and equal
     shingles, component the smallest document reached over links of at least `least` true Jaccard similarity."""
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    marked = cut_lineage(fingerprints(rows, fingerprint="text").select("doc", "fingerprint", F.sha2("text", 256).alias("same")).where(F.col("fingerprint") != "ffff" * K))
+    marked = stored(fingerprints(rows, fingerprint="text").select("doc", "fingerprint", F.sha2("text", 256).alias("same")).where(F.col("fingerprint") != "ffff" * K))
     classes = marked.groupBy("fingerprint", "same").agg(F.min("doc").alias("class"))
     member = marked.join(classes, ["fingerprint", "same"]).select("doc", "class")
     wide = 4 * K // BANDS
@@ -145,7 +147,7 @@ def near(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "
     prints = classes.select(F.col("class").alias("doc"), "fingerprint")
 
     def prepare(wanted):
-        texts = cut_lineage(rows.join(wanted, "doc", "left_semi"))
+        texts = stored(picked(rows, wanted, ["doc"]))
 
         def screen(pairs):
             both = pairs.join(prints.toDF("a", "fa"), "a").join(prints.toDF("b", "fb"), "b")
@@ -155,9 +157,9 @@ def near(docs: DataFrame, least: float = 0.8, key: str = "doc_id", text: str = "
             both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
             return both.where(jaccard(F.col("ta"), F.col("tb")) >= least).select("a", "b")
 
-        return screen, confirm
+        return screen, confirm, lambda ids: sketched(texts, ids, _set)
 
-    found = linked_in_buckets(bands, prepare)
+    found = linked_in_buckets(bands, prepare, least)
     return member.join(found.toDF("class", "component"), "class", "left").select("doc", "class", F.coalesce("component", "class").alias("component"))
 
 
