@@ -23,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SLICE, Memo
+from .text import SLICE, Memo, caches, own_memory
 from .tokens import byte_letters, space_pieces
 
-TABLE_CAP = 400_000
+TABLE_CAP = 200_000
+#: Token lengths to try where no token of four bytes or more begins.
+SHORT = (3, 2, 1)
 #: Pieces whose pre-tokens are plain to see: Latin letters after a space or none, then marks that are neither letter nor digit.
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:*$%&#|]*)")
+#: What a plain piece cannot hold; an added token with such a character is in none.
+_OTHER = re.compile(r"[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f.,!?;:*$%&#|]")
 
 
 class Automaton:
@@ -38,11 +42,9 @@ class Automaton:
         from tokenizers import Tokenizer
 
         model, letters = spec["model"], byte_letters()
-        code = {c: b for b, c in enumerate(letters)}
         vocab = model["vocab"]
         self.added = {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
-        self.label = {i: bytes(code[c] for c in t) for t, i in vocab.items() if i not in self.added}
-        self.label.update(self.added)
+        self.label = arc_labels(path)
         self.size = max(self.label) + 1
         self.tokenizer = Tokenizer.from_file(path)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -62,9 +64,8 @@ class Automaton:
         for spelled in self.ids:
             if len(spelled) >= 4:
                 sizes.setdefault(spelled[:4], set()).add(len(spelled))
-        by_start = {start: (*sorted(found, reverse=True), 3, 2, 1) for start, found in sizes.items()}
-        self.lengths = lambda start: by_start.get(start, (3, 2, 1))
-        self.added_texts = [c.decode() for c in self.added.values()]
+        self.by_start = {start: (*sorted(found, reverse=True), *SHORT) for start, found in sizes.items()}
+        self.plain_pieces = not any(_PLAIN.search(c.decode()) and not _OTHER.search(c.decode()) for c in self.added.values())
         self.cores = Memo(self._core, 100_000)
         self.words = Memo(lambda piece: self._word(" " + piece), 300_000)
 
@@ -97,22 +98,43 @@ class Automaton:
         return known
 
     def word(self, b: bytes) -> list[int]:
-        """Ids of one pre-split word: walk along arcs, longest token first. A pair of place and last token from which no walk reached
-        the end is not tried again, so the steps stay in proportion to the word."""
-        ids, arc, n = self.ids, self.arc, len(b)
+        """Ids of one pre-split word: a straight walk along arcs, longest token first; if it gets stuck, the search."""
+        ids, table, by_start, size = self.ids, self.table, self.by_start, self.size
         whole = ids.get(b)
         if whole is not None:
             return [whole]
-        lengths, dead = self.lengths, set()
-        path, ends, tries, at = [], [0], [iter(lengths(b[:4]))], 0
+        path, at, left, last = [], 0, len(b), -1
+        while left:
+            for n in by_start.get(b[at : at + 4], SHORT):
+                if n > left:
+                    continue
+                t = ids.get(b[at : at + n])
+                if t is None:
+                    continue
+                if last >= 0:
+                    known = table.get(last * size + t)
+                    if not (self.arc(last, t) if known is None else known):
+                        continue
+                path.append(t)
+                last, at, left = t, at + n, left - n
+                break
+            else:
+                return self._search(b)
+        return path
+
+    def _search(self, b: bytes) -> list[int]:
+        """The walk that reaches the end. A pair of place and last token from which none does is not tried again, so the steps
+        stay in proportion to the word."""
+        ids, n, dead = self.ids, len(b), set()
+        path, ends, tries, at = [], [0], [iter(self.by_start.get(b[:4], SHORT))], 0
         while at < n:
             for size in tries[-1]:
                 t = ids.get(b[at : at + size]) if at + size <= n else None
-                if t is not None and (not path or arc(path[-1], t)) and (at + size, t) not in dead:
+                if t is not None and (not path or self.arc(path[-1], t)) and (at + size, t) not in dead:
                     path.append(t)
                     at += size
                     ends.append(at)
-                    tries.append(iter(lengths(b[at : at + 4])))
+                    tries.append(iter(self.by_start.get(b[at : at + 4], SHORT)))
                     break
             else:
                 if not path:
@@ -129,7 +151,7 @@ class Automaton:
     def _word(self, piece: str) -> bytes:
         """Ids of one piece between spaces, as little-endian 32-bit integers: special tokens out, pre-split, then the automaton."""
         plain = _PLAIN.fullmatch(piece)
-        if plain and not any(c in piece for c in self.added_texts):
+        if plain and self.plain_pieces:
             head, tail = plain.groups()
             return self.cores[head] + self.cores[tail] if tail else self.cores[head]
         out: list[int] = []
@@ -164,17 +186,40 @@ class Automaton:
         return self._word(pieces[0]) + b"".join(map(self.words.__getitem__, pieces[1:]))
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
+        return spelled(self.label, ids)
 
 
-_BACK = {ord(c): b for b, c in enumerate(byte_letters())}
+def spelled(label: dict[int, bytes], ids) -> str:
+    return b"".join(map(label.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
+def arc_labels(path: str) -> dict[int, bytes]:
+    """The bytes of each token; of an added one its text."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    code = {c: b for b, c in enumerate(byte_letters())}
+    added = {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
+    return {i: bytes(code[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in added} | added
+
+
+_BACK = {ord(c): b for b, c in enumerate(byte_letters())}
+
+
 def automaton(path: str) -> Automaton:
+    """One per worker process."""
+    own_memory(f"automaton {path}")
+    return _automaton(path)
+
+
+@lru_cache(maxsize=1)
+def _automaton(path: str) -> Automaton:
     return Automaton(path)
 
 
+caches.append(_automaton.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns and `ids`, the token ids of the whole text. A null or empty text has an empty list."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -197,12 +242,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema)
 
     def run(batches):
-        a = automaton(path)
+        label = arc_labels(path)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 col = part.column(len(keep))
-                texts = [a.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in col]
+                texts = [spelled(label, x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in col]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], [*keep, "decoded"])
 
     return encoded.select(*keep, F.col(ids).alias("_ids_")).mapInArrow(run, f"{fields}, decoded string")
