@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Memo, fresh
+from .text import Memo, fresh, own_memory
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -107,7 +107,7 @@ class Model:
 
     def _memo(self) -> Memo:
         if not hasattr(self, "_found"):
-            self._found = Memo(lambda w: tuple(self.vocabulary[f] for f in features(w) if f in self.vocabulary))
+            self._found = Memo(lambda w: tuple(self.vocabulary[f] for f in features(w) if f in self.vocabulary), 60_000)
         return self._found
 
     def counts(self, text: str | None) -> Counter:
@@ -155,7 +155,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def _feature_counts(sample: DataFrame, candidates: frozenset | None) -> DataFrame:
     """feature, a, b: toxic and clean documents with it; with candidates, places with different neighbour words instead."""
     def run(batches):
-        for batch in batches:
+        own_memory("toxicity")
+        for batch in (b.iloc[at : at + 128] for b in batches for at in range(0, len(b), 128)):
             out: dict = {} if candidates is None else set()
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 ws = _words(text)
@@ -211,6 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary: i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def frequencies(batches):
+        own_memory("toxicity")
         for batch in batches:
             total = np.zeros(len(good), np.int64)
             for t in batch["text"]:
@@ -244,6 +246,7 @@ def scorer(spark, model: Model):
 
     @F.pandas_udf("score double, evidence array<long>")
     def score(texts: pd.Series) -> pd.DataFrame:
+        own_memory("toxicity")
         m, scores, evidence = shared.value, [], []
         for at in range(0, len(texts), 512):
             s, which = m.score(texts.iloc[at : at + 512])

@@ -10,8 +10,8 @@ part are taken apart into passages, see _earlier. Without survivors the later le
 
 Passages are told apart by 128 bits (their short window's hash and their own), windows of the levels before by 64 (a false survivor there
 only costs work). Which documents share a window is found with partial aggregates (smallest and largest document), so a passage that
-a third of all documents have is reduced before it is shuffled; survivors return to their rows by joins whose large
-partitions may be split. Windows are judged on the input, not on what is left.
+a third of all documents have is reduced before it is shuffled; survivors are stored and return to their rows by joins of two plain
+shuffles, whose large partitions may be split. Windows are judged on the input, not on what is left.
 
 Nulls and empty texts have no words. Rows with the same key (or without one; these count as the largest) count as one document: they do not
 remove each other's words, each loses what a smaller document has. Texts shorter than a passage are kept whole. An empty
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import few, picked, stored
-from .text import SLICE, fresh, window_hashes, word_hashes, words
+from .text import SLICE, fresh, own_memory, window_hashes, word_hashes, words
 
 HOT = 1 << 16
 
@@ -68,7 +68,7 @@ def _mark(docs: DataFrame, key: str, text: str) -> Column:
 def _alive(rows: DataFrame) -> DataFrame:
     """doc, mark, alive: the hashes of each document that another document has as well."""
     shared = rows.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h")
-    return stored(rows.join(shared, "h").groupBy("doc", "mark").agg(F.collect_set("h").alias("alive")), "alive")
+    return stored(rows.join(stored(shared, "shared"), "h").groupBy("doc", "mark").agg(F.collect_set("h").alias("alive")), "alive")
 
 
 def starts(docs: DataFrame, length: int, levels: int, key: str, text: str, mark: Column) -> DataFrame:
@@ -79,6 +79,7 @@ def starts(docs: DataFrame, length: int, levels: int, key: str, text: str, mark:
     base = docs.select(_order(key).alias("doc"), mark.alias("mark"), F.col(text).cast("string").alias("text"))
 
     def first(batches):
+        own_memory("substrings")
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 ids, marks, got = [], [], []
@@ -142,10 +143,10 @@ def _runs(sizes: list[int]):
 def _earlier(runs: DataFrame) -> DataFrame:
     """A run that a smaller document has as well goes whole. Of the other runs, those under a window with several kinds of run are taken
     apart, one document for each kind, and their passages are looked up one by one; inside of copied text that is none."""
-    kinds = runs.groupBy("h", "run").agg(F.min("doc").alias("first"))
+    kinds = stored(runs.groupBy("h", "run").agg(F.min("doc").alias("first")), "kinds")
     placed = runs.join(kinds, ["h", "run"])
     whole = placed.where("first < doc").select("doc", "mark", "at", "n")
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+    several = stored(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h"), "several")
 
     def apart(batches):
         for batch in batches:
@@ -156,7 +157,7 @@ def _earlier(runs: DataFrame) -> DataFrame:
 
     single = stored(placed.where("first = doc").join(several, "h", "left_semi").select("doc", "mark", "h", "at", "n", "each").mapInPandas(apart, "doc long, mark long, h long, w long, at int"), "passages")
     shared = single.groupBy("h", "w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    one = single.join(shared, ["h", "w"]).where("first < doc").select("doc", "mark", "at", F.lit(1).alias("n"))
+    one = single.join(stored(shared, "shared"), ["h", "w"]).where("first < doc").select("doc", "mark", "at", F.lit(1).alias("n"))
     return stored(whole.unionByName(one).groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "n")).alias("starts")), "starts")
 
 
@@ -197,6 +198,7 @@ def _with_cut(docs: DataFrame, length: int, levels: int, key: str, text: str) ->
         rows = rows.join(gone, [doc, mark], "left")
 
     def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        own_memory("substrings")
         out = []
         for t, s in zip(texts, places, strict=True):
             ws = words(t)

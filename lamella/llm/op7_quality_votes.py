@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .text import fresh
+from .text import fresh, own_memory
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -70,6 +70,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def _stats(texts: pd.Series) -> pd.DataFrame:
+    own_memory("quality")
     return pd.DataFrame([text_stats(t) for t in texts], columns=[f.split(" ")[0] for f in STATS.split(", ")], dtype="int64")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .graph import linked_in_buckets, sketched
 from .storage import picked, stored
-from .text import SLICE, mix, shingles, words
+from .text import SLICE, mix, own_memory, shingles, words
 
 K, BITS, BANDS, ROWS = 128, 512, 56, 6
 
@@ -72,6 +72,7 @@ def _set(text: str | None, width: int) -> np.ndarray:
 def described(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """doc, n, d1, d2 (128-bit digest of the set), sig, sketch; one row per document."""
     def run(batches):
+        own_memory("near duplicates")
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part = batch.iloc[at : at + SLICE]
@@ -145,7 +146,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_i
     """doc, n_shingles, component: one row per row of `docs`."""
     seen = stored(described(docs, width, key, text))
     some = seen.where("n > 0 AND doc IS NOT NULL")
-    classes = some.groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
+    classes = stored(some.groupBy("d1", "d2").agg(F.min("doc").alias("rep")))  # so that joins on it are of two plain shuffles, whose large partitions may be split
     reps = some.join(classes, ["d1", "d2"]).where("doc = rep").dropDuplicates(["d1", "d2"]).select("doc", "sig", "sketch")
 
     def prepare(wanted):

@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE = 256
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python in Arrow batches of at most `rows`: what a worker holds at a time stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +65,21 @@ def shingles(ws: list[bytes], width: int) -> np.ndarray:
     return np.unique(window_hashes(h, min(width, len(ws)), min(width, len(ws))))
 
 
+_owner: str | None = None
+#: What frees the large caches of this worker process.
+caches: list = []
+
+
+def own_memory(owner: str) -> None:
+    """Called where an operator starts to work in a Python worker: caches that another operator left in the process are freed."""
+    global _owner
+    if _owner not in (None, owner):
+        for clear in caches:
+            clear()
+        gc.collect()
+    _owner = owner
+
+
 class Memo(dict):
     """A mapping from strings that computes what it lacks and holds two generations of at most `cap` entries; keys of over 64 characters
     are not held."""

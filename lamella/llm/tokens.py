@@ -11,7 +11,7 @@ import re
 from array import array
 from functools import lru_cache
 
-from .text import Memo
+from .text import Memo, caches, own_memory
 
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _WORD_SPACE = re.compile(r" (?=\S)")
@@ -43,7 +43,7 @@ class PieceEncoder:
     """Ids as little-endian unsigned 32-bit bytes. `opening` stands before every piece but the first. Memory: two generations of `cap`
     remembered pieces. A new plain piece goes to the library's BPE model at once, any other through its whole pipeline."""
 
-    def __init__(self, path: str, pieces, opening: str, fold: bool, cap: int = 700_000):
+    def __init__(self, path: str, pieces, opening: str, fold: bool, cap: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -78,7 +78,15 @@ class PieceEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, kind: str) -> PieceEncoder:
     """One per worker process; `kind` is "byte" or "word"."""
+    own_memory(f"encoder {kind} {path}")
+    return _encoder(path, kind)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, kind: str) -> PieceEncoder:
     return PieceEncoder(path, *{"byte": (space_pieces, " ", False), "word": (bare_pieces, "", True)}[kind])
+
+
+caches.append(_encoder.cache_clear)

@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lamella.llm import op4_packing, op9_bpe_automaton, op10_token_store
-from lamella.llm.tokens import encoder
+from lamella.llm.op9_bpe_automaton import _automaton as automaton
+from lamella.llm.tokens import _encoder as encoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = ["", " ", "   a  b   ", "a\n\n  b \n c", "<|endoftext|> x<|endoftext|>y", "aaaaaaaaaaaa  \t\t x", "日本語 テスト 😀😀", "don't it's I'll 123 4567.89  x \x1c y", "\x00\x01 é",
@@ -29,7 +30,7 @@ def test_automaton_and_encoders_equal_the_library(text):
     lib = Tokenizer.from_file(BYTE) if not hasattr(test_automaton_and_encoders_equal_the_library, "lib") else test_automaton_and_encoders_equal_the_library.lib
     test_automaton_and_encoders_equal_the_library.lib = lib
     want = lib.encode(text, add_special_tokens=False).ids
-    auto = op9_bpe_automaton.automaton(BYTE)
+    auto = automaton(BYTE)
     got = np.frombuffer(auto.encode(text), "<i4").tolist()
     assert got == want
     assert auto.decode(got) == lib.decode(want, skip_special_tokens=False)
@@ -39,7 +40,7 @@ def test_automaton_and_encoders_equal_the_library(text):
 
 
 def test_odd_texts(byte_lib):
-    auto, word = op9_bpe_automaton.automaton(BYTE), encoder(WORD, "word")
+    auto, word = automaton(BYTE), encoder(WORD, "word")
     for text in ODD:
         want = byte_lib.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(auto.encode(text), "<i4").tolist() == want, text
@@ -48,7 +49,7 @@ def test_odd_texts(byte_lib):
 
 
 def test_every_vocabulary_word_walks_to_the_library_ids(byte_lib):
-    auto = op9_bpe_automaton.automaton(BYTE)
+    auto = automaton(BYTE)
     for t in range(0, 50256, 7):
         text = byte_lib.decode([t])
         if "�" not in text:
