@@ -1,7 +1,7 @@
 """Document fingerprints by MinHash: k universal hash permutations over word shingles, bands joined in Spark, Jaccard verified.
 
-A fingerprint is the smallest value of each of `K` permutations h -> (a h + b) mod 2^64 (top 16 bits kept) over the distinct
-shingles of the whole text, as hexadecimal text. The likeness of two fingerprints is the share of equal values, freed of the equal
+A fingerprint is the smallest value of each of `K` permutations h -> (a h + b) mod 2^64 over the distinct shingles of the whole
+text, as hexadecimal text. Of each smallest value 16 bits are kept, after mixing: its own top bits run to 0 as texts grow. The likeness of two fingerprints is the share of equal values, freed of the equal
 values that chance gives. Equal texts have equal fingerprints. A text with fewer words than a shingle is one shingle; a null, empty or blank
 text has a fingerprint of its own kind (no shingle), like itself and unlike all others.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .graph import linked_in_buckets, sketched
 from .storage import picked, stored
-from .text import SLICE, columns, fresh, shingles, words
+from .text import SLICE, columns, fresh, mix, shingles, words
 
 K, WIDTH, BANDS = 128, 5, 32
 #: Target rows of a sorted range.
@@ -49,7 +49,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             least = np.minimum.reduceat(part[None] * a[:, None] + b[:, None], cut, axis=1)
             low[own[cut]] = np.minimum(low[own[cut]], least.T)
-        out[some] = np.minimum(low >> np.uint64(48), 0xFFFE).astype(np.uint16)
+        out[some] = np.minimum(mix(low) >> np.uint64(48), 0xFFFE).astype(np.uint16)
     return out
 
 

@@ -185,3 +185,13 @@ def test_fingerprint_neighbours_verified(spark):
     got = op2_fingerprint.near(frame(spark, [(i, t.lower() if t else t) for i, t in rows])).collect()
     want = brute_components(rows, 5, 80)
     assert {r.doc: r.component for r in got} == {i: want[i] for i, t in rows if WORDS.findall(t or "")}
+
+
+@pytest.mark.parametrize("n", [50, 20_000, 300_000])
+def test_fingerprints_of_disjoint_texts_of_any_length_differ(n):
+    texts = [" ".join(f"{side}{k}" for k in range(n)) for side in "ab"]
+    rows = op2_fingerprint.signatures([op2_fingerprint._set(t) for t in texts])
+    assert op2_fingerprint.likeness(rows[:1], rows[1:])[0] < 0.03
+    shared = " ".join([texts[0], *texts[1].split()[: n // 2]])
+    other = op2_fingerprint.signatures([op2_fingerprint._set(shared)])
+    assert abs(op2_fingerprint.likeness(rows[:1], other)[0] - 2 / 3) < 0.2
