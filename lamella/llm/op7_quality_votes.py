@@ -27,6 +27,7 @@ OTHER_ASCII = bytes(b for b in range(128) if not chr(b).isalpha())
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper_words long, n_distinct long, n_echo_words long, n_bangs long, n_letter_bytes long, n_word_bytes long"
 
 #: name, bad if, good if (neither: the rule abstains). Most rules know one kind of junk and have nothing to say for a text.
+#: The share of distinct words of any text falls as it grows, about with the root of its length: beyond 4000 words so does the limit of "variety".
 RULES = (
     ("symbols", "n_symbols > 0.2 * n_words", "FALSE"),
     ("letters", "n_letter_bytes < 0.6 * n_word_bytes", "n_letter_bytes >= 0.92 * n_word_bytes"),
@@ -34,7 +35,7 @@ RULES = (
     ("bangs", "n_bangs > 0.15 * n_words", "FALSE"),
     ("repeats", "n_repeat_words > 0.16 * n_words", "FALSE"),
     ("lines", "n_dup_lines > 0.3 * n_lines", "FALSE"),
-    ("variety", "n_distinct < 0.2 * n_words AND n_words >= 40 AND n_words < 4000", "FALSE"),
+    ("variety", "n_distinct < 0.2 * least(n_words, sqrt(4000D * n_words)) AND n_words >= 40", "FALSE"),
     ("echo", "n_echo_words > 0.1 * n_words", "FALSE"),
     ("length", "word_chars < 2.5 * n_words OR word_chars > 14 * n_words", "FALSE"),
     ("prose", "FALSE", "n_upper_words <= 0.1 * n_words AND n_symbols <= 0.02 * n_words AND n_bangs <= 0.02 * n_words"),

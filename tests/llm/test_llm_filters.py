@@ -161,3 +161,12 @@ def test_quality_verdicts_and_filter(spark):
 def test_rule_conditions_name_the_struct(spark, condition, want):
     names = dict.fromkeys(f.split(" ")[0] for f in op7_quality_votes.STATS.split(", "))
     assert op7_quality_votes._sql(condition, names, "s")._jc.toString() == F.expr(want)._jc.toString()
+
+
+def test_long_junk_of_few_words_is_voted_bad(spark):
+    rng, short = random.Random(4), [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choice(short) for _ in range(n)) for n in (3999, 4000, 50_000)] + [" ".join(f"v{rng.randrange(9000)}" for _ in range(50_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("s", op7_quality_votes.stats(F.col("text")))
+    at = [r[0] for r in op7_quality_votes.RULES].index("variety")
+    votes = {r.doc_id: int(op7_quality_votes.digits(np.array([r.p]))[0][at]) for r in df.select("doc_id", op7_quality_votes.pattern("s").alias("p")).collect()}
+    assert votes == {0: 0, 1: 0, 2: 0, 3: 1}
