@@ -195,3 +195,15 @@ def test_fingerprints_of_disjoint_texts_of_any_length_differ(n):
     shared = " ".join([texts[0], *texts[1].split()[: n // 2]])
     other = op2_fingerprint.signatures([op2_fingerprint._set(shared)])
     assert abs(op2_fingerprint.likeness(rows[:1], other)[0] - 2 / 3) < 0.2
+
+
+def test_fine_sketches_of_sets_just_below_the_sample_size_rule_out_no_pair_at_the_limit():
+    from lamella.llm.sketch import SMALL, allowed, fine_sketch
+
+    rng, n, lost = np.random.default_rng(12), SMALL - 3, 0
+    shared = -(-8 * n // 9)  # similarity just above 0.8
+    for _ in range(3000):
+        pool = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64)
+        one, other = (np.frombuffer(fine_sketch(s), np.uint8) for s in (pool[:n], np.concatenate([pool[:shared], pool[n:]])))
+        lost += not allowed(one, other[None], n, np.array([n]), 0.8)[0]
+    assert lost == 0
