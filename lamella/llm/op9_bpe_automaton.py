@@ -167,17 +167,17 @@ class Automaton:
         return letters.translate(_BACK).encode("latin-1")
 
     def _cut_specials(self, piece: str):
-        found = [(piece.find(c.decode()), -len(c), i) for i, c in self.added.items()]
-        found = [f for f in found if f[0] >= 0]
-        if not found:
-            if piece:
-                yield piece, None
-            return
-        at, minus, i = min(found)
-        if at:
-            yield piece[:at], None
-        yield "", i
-        yield from self._cut_specials(piece[at - minus :])
+        known, start = {c.decode(): i for i, c in self.added.items()}, 0
+        ahead = {c: piece.find(c) for c in known}
+        while found := [(at, -len(c), c) for c, at in ahead.items() if at >= 0]:
+            at, minus, c = min(found)
+            if at > start:
+                yield piece[start:at], None
+            yield "", known[c]
+            start = at - minus
+            ahead = {c: piece.find(c, start) if 0 <= at < start else at for c, at in ahead.items()}
+        if start < len(piece):
+            yield piece[start:], None
 
     def encode(self, text: str) -> bytes:
         if not text:

@@ -142,3 +142,11 @@ def test_token_store_round_trip(spark, scratch):
     empty = op10_token_store.write(docs_of(spark, []), WORD, 2, scratch + "/none")
     assert op10_token_store.walk(spark, empty).count() == 0
     assert op10_token_store.lookup(asked, empty).where("ids IS NOT NULL").count() == 0
+
+
+def test_a_run_of_thousands_of_special_tokens_is_cut():
+    auto = automaton(BYTE)
+    (number, content), = [(i, c.decode()) for i, c in auto.added.items() if c == b"<|endoftext|>"]
+    text = "a" + content * 5000 + "b" + content
+    ids = np.frombuffer(auto.encode(text), np.int32).tolist()
+    assert ids.count(number) == 5001 and len(ids) == 5003 and auto.decode(ids) == text
