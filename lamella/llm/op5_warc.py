@@ -1,9 +1,10 @@
 """WARC records in ZIP packages: a writer, and a reader that works by ranges and extracts nothing.
 
-A package holds `archive/data.warc.gz` (records, each its own gzip member) and `indexes/index.cdx` (one line per record: key, place, length), both
+A package holds `archive/data.warc.gz` (records, each its own gzip member) and `indexes/index.cdx` (one line per record: key, place, length, member), both
 stored, not compressed, so that a record is a byte range of the package. The reader finds the end record at the package's tail, goes on to
 the ZIP64 end record where a field is full, parses the central directory with its ZIP64 fields, takes each member's place from its local
-header, reads the index range and then each record's range, in blocks.
+header, reads the index ranges and then each record's range, in blocks. It takes any number of archives and indexes: all members below
+`archive/` and `indexes/`. A line without a member is one of the only archive; an archive that no index names is an error.
 
 Payloads are equal if their SHA-1 are. Of equal ones with at least `least` bytes the smallest key is a response, the others revisit it. How often
 a payload occurs is counted with partial aggregates and only payloads that occur twice return to the rows, by a join whose large
@@ -160,7 +161,7 @@ class PackageWriter:
 
     def add(self, key: int | None, member: bytes) -> None:
         self.member.write(member)
-        self.lines.append(f"{'' if key is None else key} {self.at} {len(member)}\n")
+        self.lines.append(f"{'' if key is None else key} {self.at} {len(member)} {WARC}\n")
         self.at += len(member)
 
     def close(self) -> None:
@@ -189,19 +190,29 @@ class _Forward(io.RawIOBase):
 
 def records(f) -> Iterator[Record]:
     """All records of a package in index order; neighbouring ranges are fetched together."""
-    members = {m.name: m for m in directory(f)}
-    start = place(f, members[WARC])
-    index = f.read(place(f, members[INDEX]), members[INDEX].size).decode()
-    group: list[tuple[int, int]] = []
-    for line in index.split("\n"):
-        if line:
-            at, n = map(int, line.split(" ")[1:])
-            if group and at + n - group[0][0] > READ_BYTES:
-                yield from _group(f, start, group)
+    members = [m for m in directory(f) if not m.name.endswith("/")]
+    archives = {m.name: m for m in members if m.name.startswith("archive/")}
+    starts, group, last = {}, [], None
+    for index in (m for m in members if m.name.startswith("indexes/")):
+        for line in f.read(place(f, index), index.size).decode().split("\n"):
+            if not line:
+                continue
+            _, at, n, *named = line.split(" ", 3)
+            at, n, name = int(at), int(n), named[0] if named else next(iter(archives), None)
+            if name not in archives or not named and len(archives) > 1:
+                raise ValueError(f"{index.name}: a line does not lead to an archive: {line}")
+            if name not in starts:
+                starts[name] = place(f, archives[name])
+            if group and (name != last or at < sum(group[-1]) or at + n - group[0][0] > READ_BYTES):
+                yield from _group(f, starts[last], group)
                 group = []
             group.append((at, n))
+            last = name
     if group:
-        yield from _group(f, start, group)
+        yield from _group(f, starts[last], group)
+    for m in archives.values():
+        if m.size and m.name not in starts:
+            raise ValueError(f"{m.name}: no index names its records")
 
 
 def _group(f, start: int, group: list[tuple[int, int]]) -> Iterator[Record]:

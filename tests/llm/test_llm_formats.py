@@ -136,3 +136,22 @@ def test_chat_is_native(spark):
     assert [r.conv_id for r in only] == [-7] and only[0].loss_chars == len("</s>[INST] ok [/INST]")
     assert only[0].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
     assert op6_chat.format_chats(df.where(F.lit(False))).count() == 0
+
+
+def test_all_archives_and_indexes_of_a_package_are_read():
+    first, second = ([op5_warc.record_bytes(k, "u", t, op5_warc.base32_sha1(t), None) for k, t in part] for part in ([(1, b"one"), (2, b"two")], [(3, b"three")]))
+    lines = [f"2 {len(first[0])} {len(first[1])} archive/a b.warc.gz", f"1 0 {len(first[0])} archive/a b.warc.gz"], [f"3 0 {len(second[0])} archive/c.warc.gz"]
+
+    def package(*indexes):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("archive/a b.warc.gz", b"".join(first))
+            z.writestr("archive/c.warc.gz", b"".join(second))
+            for k, index in enumerate(indexes):
+                z.writestr(f"indexes/{k}.cdx", "\n".join(index))
+        return Bytes(out.getvalue())
+
+    assert [(r.key, r.payload) for r in op5_warc.records(package(*lines))] == [(2, b"two"), (1, b"one"), (3, b"three")]
+    for bad in (lines[:1], (["1 0 9"],)):
+        with pytest.raises(ValueError):
+            list(op5_warc.records(package(*bad)))
