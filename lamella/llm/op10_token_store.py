@@ -170,6 +170,18 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_bytes: int
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
+def numbered(shard: Shard, name: str) -> np.ndarray:
+    """The record number that the hash gives for each stored key; the rows of a repeated key follow its first. Each record has to be reached once, by its key."""
+    record = shard.find(shard.keys)
+    if (record < 0).any():
+        raise ValueError(f"{name}: the index does not lead to its records")
+    _, first, which = np.unique(shard.keys, return_index=True, return_inverse=True)
+    record = record + np.arange(len(record)) - first[which]
+    if (np.sort(record) != np.arange(len(record))).any() or (shard.keys[record] != shard.keys).any():
+        raise ValueError(f"{name}: the index does not lead to its records")
+    return record
+
+
 def walk(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Read every record back through the index: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
     shards, start = [], 0
@@ -181,16 +193,15 @@ def walk(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch["shard"], batch["base"], strict=True):
                 shard = Shard(name)
-                record = shard.find(shard.keys)
-                again = np.arange(len(record)) - np.searchsorted(shard.keys, shard.keys)
-                if (record < 0).any() or (record + again != np.arange(len(record))).any():
-                    raise ValueError(f"{name}: the index does not lead to its records")
+                record = numbered(shard, name)
                 for at in range(0, len(record), SLICE):
-                    to = min(at + SLICE, len(record))
-                    ids = shard.ids(at, to)
-                    begin = shard.offsets[at : to + 1].astype(np.int64)
-                    cut = [ids[a:b].tobytes() for a, b in zip(begin[:-1] - begin[0], begin[1:] - begin[0], strict=True)]
-                    yield pd.DataFrame({"doc_id": shard.keys[at:to], "start": base + begin[:-1], "n_tokens": np.diff(begin), "ids": cut})
+                    mine = record[at : at + SLICE]
+                    low, high = int(mine.min()), int(mine.max()) + 1
+                    ids = shard.ids(low, high)
+                    begin, end = shard.offsets[mine].astype(np.int64), shard.offsets[mine + 1].astype(np.int64)
+                    base_of = int(shard.offsets[low])
+                    cut = [ids[a:b].tobytes() for a, b in zip(begin - base_of, end - base_of, strict=True)]
+                    yield pd.DataFrame({"doc_id": shard.keys[at : at + SLICE], "start": base + begin, "n_tokens": end - begin, "ids": cut})
                 shard.close()
 
     frame = spark.createDataFrame(shards, "shard string, base long")

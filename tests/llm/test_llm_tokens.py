@@ -150,3 +150,19 @@ def test_a_run_of_thousands_of_special_tokens_is_cut():
     text = "a" + content * 5000 + "b" + content
     ids = np.frombuffer(auto.encode(text), np.int32).tolist()
     assert ids.count(number) == 5001 and len(ids) == 5003 and auto.decode(ids) == text
+
+
+def test_rows_are_placed_by_the_number_that_the_hash_gives():
+    class Known:
+        keys = np.array([4, 4, 9], np.int64)
+
+        def find(self, keys):
+            return np.array([{4: 0, 9: 2}[int(k)] for k in keys])
+
+    class Wrong(Known):
+        def find(self, keys):
+            return np.array([{4: 1, 9: 0}[int(k)] for k in keys])
+
+    assert op10_token_store.numbered(Known(), "x").tolist() == [0, 1, 2]
+    with pytest.raises(ValueError):
+        op10_token_store.numbered(Wrong(), "x")
