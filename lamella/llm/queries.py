@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op1_toxicity, op2_fingerprint, op3_substring_dedup, op4_packing, op5_warc, op6_chat, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store
+from . import op1_toxicity, op2_fingerprint, op3_substring_dedup, op4_packing, op5_warc, op6_chat, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store, op11_line_runs
 from .text import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -49,6 +49,10 @@ def op10_token_store_query(spark, sf_dir):
     return op10_token_store.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_line_runs_query(spark, sf_dir):
+    return op11_line_runs.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": (op1_toxicity_query, None),
     "op2_fingerprint": (op2_fingerprint_query, None),
@@ -60,4 +64,5 @@ QUERIES = {
     "op8_odd_sketch": (op8_odd_sketch_query, op8_odd_sketch.ORACLE),
     "op9_bpe_automaton": (op9_bpe_query, None),
     "op10_token_store": (op10_token_store_query, None),
+    "op11_line_runs": (op11_line_runs_query, op11_line_runs.ORACLE),
 }
