@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op1_toxicity, op2_fingerprint, op3_substring_dedup, op4_packing, op5_warc, op6_chat, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store, op11_line_runs
+from . import op1_toxicity, op2_fingerprint, op3_substring_dedup, op4_packing, op5_warc, op6_chat, op7_quality_votes, op8_odd_sketch, op9_bpe_automaton, op10_token_store
+from . import op11_line_runs, op12_spelling_grams, op13_conversation_repair
 from .text import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -53,6 +54,14 @@ def op11_line_runs_query(spark, sf_dir):
     return op11_line_runs.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_query(spark, sf_dir):
+    return op12_spelling_grams.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_repair_query(spark, sf_dir):
+    return op13_conversation_repair.digests(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": (op1_toxicity_query, None),
     "op2_fingerprint": (op2_fingerprint_query, None),
@@ -65,4 +74,6 @@ QUERIES = {
     "op9_bpe_automaton": (op9_bpe_query, None),
     "op10_token_store": (op10_token_store_query, None),
     "op11_line_runs": (op11_line_runs_query, op11_line_runs.ORACLE),
+    "op12_spelling_grams": (op12_spelling_query, None),
+    "op13_conversation_repair": (op13_repair_query, None),
 }
