@@ -52,7 +52,7 @@ def _counted(batches, least: int, modulus: int):
     runs, held = re.compile(f"[{LETTERS}]{{{max(1, least)},}}"), Counter()
 
     def flushed():
-        out = pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+        out = pd.DataFrame({"word": pd.Series(list(held.keys()), dtype="str"), "n": pd.Series(list(held.values()), dtype="int64")})
         held.clear()
         return out
 
@@ -172,7 +172,7 @@ def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, extend: int
     def listed(batches):
         for batch in batches:
             keys = [index.lists(w) for w in batch["word"]]
-            yield pd.DataFrame({"word": batch["word"].repeat([len(k) for k in keys]).array, "list": [x for k in keys for x in k]})
+            yield pd.DataFrame({"word": batch["word"].repeat([len(k) for k in keys]).array, "list": pd.Series([x for k in keys for x in k], dtype="int64")})
 
     lists = stored(words.select("word").mapInPandas(listed, "word string, list long"))
     met = lists.select("list", F.col("word").alias("a")).join(lists.select("list", F.col("word").alias("b")), "list")
