@@ -33,9 +33,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all that is left, in sequences of at most 1024."""
+    """Token ids of all that is left, in sequences of at most 1024. Executors are full when this stage comes: few pieces are remembered."""
     small_batches(spark)
-    return op4_packing.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return op4_packing.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), held=100_000)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
@@ -44,10 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each returns is written as Parquet in the shared folder and read again."""
+    """All stages over `documents`; what each returns is written as Parquet in the shared folder and read again. The tables that a stage has
+    stored on its way go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = storage.shared_folder(spark, "pipeline")
     for name, stage in STAGES:
+        before = storage.mark()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        storage.release(spark, before)
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

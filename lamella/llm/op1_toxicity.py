@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Memo, fresh, own_memory
+from .text import Memo, caches, fresh, own_memory
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -108,6 +108,7 @@ class Model:
     def _memo(self) -> Memo:
         if not hasattr(self, "_found"):
             self._found = Memo(lambda w: tuple(self.vocabulary[f] for f in features(w) if f in self.vocabulary), 60_000)
+            caches.append(lambda: self.__dict__.pop("_found", None))
         return self._found
 
     def counts(self, text: str | None) -> Counter:

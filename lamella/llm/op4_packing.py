@@ -101,8 +101,8 @@ class Packer:
         self.pool, self.held = [], 0
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, windows: int = 32, grain: int = 256, fine: int = 4, margin: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, windows: int = 32, grain: int = 256, fine: int = 4, margin: int = 3, text: str = "text", key: str = "doc_id", held: int = 700_000) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. `held`: see tokens.encoder."""
     if not 0 < fine <= grain <= capacity or not 0 <= margin < capacity:
         raise ValueError("0 < fine <= grain <= capacity and 0 <= margin < capacity")
     kind = docs.schema[key].dataType.simpleString()
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, wind
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, packer = encoder(path, "byte"), Packer(capacity, windows, grain, fine, margin)
+        enc, packer = encoder(path, "byte", held), Packer(capacity, windows, grain, fine, margin)
         first = TaskContext.get().partitionId() * TASK_RANGE
         names = [f.split(" ")[0] for f in schema.split(", ")]
         key_type = None
@@ -133,6 +133,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, wind
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, held: int = 700_000) -> DataFrame:
     """The contract's row per piece."""
-    return pack(docs, path).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, path, held=held).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -27,10 +27,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the folders that this process has made; results that read from them must be written before."""
+def mark() -> int:
+    """How many folders this process has made so far, for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders that this process has made (those after a mark); results that read from them must be written before."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _made:
+    while len(_made) > since:
         path = hadoop(_made.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

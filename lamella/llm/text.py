@@ -1,9 +1,11 @@
 """Shared helpers: tables, words, word hashes, bounded memos."""
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,12 +73,17 @@ caches: list = []
 
 
 def own_memory(owner: str) -> None:
-    """Called where an operator starts to work in a Python worker: caches that another operator left in the process are freed."""
+    """Called where an operator starts to work in a Python worker: caches that another operator left in the process are freed, and what
+    the allocators hold of them goes back to the system."""
     global _owner
     if _owner not in (None, owner):
         for clear in caches:
             clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
     _owner = owner
 
 

@@ -78,15 +78,15 @@ class PieceEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
 
-def encoder(path: str, kind: str) -> PieceEncoder:
-    """One per worker process; `kind` is "byte" or "word"."""
+def encoder(path: str, kind: str, held: int = 700_000) -> PieceEncoder:
+    """One per worker process; `kind` is "byte" or "word". It remembers twice `held` pieces at most, about 130 bytes each."""
     own_memory(f"encoder {kind} {path}")
-    return _encoder(path, kind)
+    return _encoder(path, kind, held)
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, kind: str) -> PieceEncoder:
-    return PieceEncoder(path, *{"byte": (space_pieces, " ", False), "word": (bare_pieces, "", True)}[kind])
+def _encoder(path: str, kind: str, held: int) -> PieceEncoder:
+    return PieceEncoder(path, *{"byte": (space_pieces, " ", False), "word": (bare_pieces, "", True)}[kind], held)
 
 
 caches.append(_encoder.cache_clear)
