@@ -85,7 +85,7 @@ def encoder(path: str, kind: str, held: int = 700_000) -> PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, kind: str, held: int) -> PieceEncoder:
+def _encoder(path: str, kind: str, held: int = 700_000) -> PieceEncoder:
     return PieceEncoder(path, *{"byte": (space_pieces, " ", False), "word": (bare_pieces, "", True)}[kind], held)
 
 
