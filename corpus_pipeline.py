@@ -35,7 +35,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all that is left, in sequences of at most 1024. Executors are full when this stage comes: few pieces are remembered."""
     small_batches(spark)
-    return op4_packing.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), held=100_000)
+    return op4_packing.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), held=50_000)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", packing)]
