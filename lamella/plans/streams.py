@@ -7,6 +7,7 @@ from ..operators import slice_checks as S
 from ..params import HIGH
 from ..sources import tables as T
 from ..streaming import operators as O
+from ..streaming import stateful as K
 from ..streaming.runner import drain, event_time, stream_table
 from .registry import query, sql
 from .views import SEVERITY_SQL
@@ -122,3 +123,42 @@ def stream_revision(spark, sf):
     entries = log(T.load(spark, sf, "conversations"))
     slots = entries.select("block_id").distinct().crossJoin(F.broadcast(entries.agg(F.max("z").alias("_top")))).select("block_id", F.explode(F.sequence(F.lit(0).cast("long"), "_top")).alias("z"))  # against one row
     return O.fan_out_revisions(state, slots)
+
+
+# ----------------------------------------------------------------------------- keyed state with timers
+
+_WINDOW, _LIMIT = 259_200, 3  # days instead of the default minute, as the events are hours apart
+_LOCK = {
+    "a": "SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'purchase')",
+    "w": f"""SELECT user_id, event_id, rn, t, CASE WHEN failed THEN [t] ELSE CAST([] AS BIGINT[]) END AS hits, CASE WHEN failed THEN 'failed' ELSE 'passed' END AS outcome, 0 AS wait_s, false AS unlocked FROM a WHERE rn = 1
+ UNION ALL SELECT user_id, event_id, rn, t, CASE WHEN len(old) >= {_LIMIT} THEN old WHEN failed THEN list_append(old, t) ELSE CAST([] AS BIGINT[]) END,
+  CASE WHEN len(old) >= {_LIMIT} THEN 'rejected' WHEN failed THEN 'failed' ELSE 'passed' END, CASE WHEN len(old) >= {_LIMIT} THEN ({_WINDOW}000000 - (t - old[-1])) // 1000000 + 1 ELSE 0 END, len(hits) >= {_LIMIT} AND len(old) < {_LIMIT}
+ FROM (SELECT a.*, w.hits, list_filter(w.hits, lambda h: a.t - h < {_WINDOW}000000) AS old FROM w JOIN a ON a.user_id = w.user_id AND a.rn = w.rn + 1)""",
+    "e": f"SELECT user_id FROM w WHERE unlocked UNION ALL SELECT user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS r FROM w) WHERE r = 1 AND len(hits) >= {_LIMIT} AND hits[-{_LIMIT}] + {_WINDOW}000000 <= (SELECT max(t) - 86400000000 FROM a)"}
+
+
+@query("stream_lockout", "STR5", sql(ctes=_LOCK, body="SELECT user_id, event_id, outcome, CAST(wait_s AS BIGINT) AS wait_s FROM w UNION ALL SELECT user_id, NULL, 'unlocked', 0 FROM e"))
+def stream_lockout(spark, sf):
+    e = stream_events(spark, sf).where("event_type IN ('error', 'purchase')").withColumn("failed", F.col("event_type") == "error")
+    return drain(K.lockout(e, "user_id", _LIMIT, _WINDOW, "1 day"), "append").withColumnRenamed("key", "user_id")
+
+
+_CLOCK = {
+    "s": "SELECT e.user_id, c_custkey, 40 + c_custkey % 60 AS planned, epoch_us(ts) AS t, event_type <> 'error' AS passed, event_type = 'error' AND event_id % 7 = 0 AS critical, CASE WHEN event_type = 'error' THEN 0.25e0 ELSE 0.875e0 END AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events e LEFT JOIN customer ON c_custkey = user_id",
+    "g": "SELECT user_id, count(*) AS n, max(planned) AS planned, max(t) AS last FROM s GROUP BY user_id"}
+
+
+@query("stream_block_clock", "STR2, STR11", sql(ctes=_CLOCK, body="""
+SELECT user_id, CASE WHEN n >= g.planned THEN 'complete' ELSE 'silent' END AS how, count(*) AS n_slices, count(*) FILTER (passed) AS n_passed, count(*) FILTER (critical) AS n_critical, round(avg(q), 8) AS quality
+FROM g JOIN s USING (user_id) WHERE (n >= g.planned AND rn <= g.planned) OR (n < coalesce(g.planned, n + 1) AND last + 172800000000 <= (SELECT max(t) - 3600000000 FROM s)) GROUP BY user_id, n, g.planned"""))
+def stream_block_clock(spark, sf):
+    """A block is a user: its sections are the user's events, the plan comes from the customers."""
+    e, error = stream_events(spark, sf), F.col("event_type") == "error"
+    s = e.select(F.col("user_id").alias("key"), "ts", "event_id", (~error).alias("passed"), (error & (F.col("event_id") % 7 == 0)).alias("critical"), F.when(error, 0.25).otherwise(0.875).alias("quality"))
+    plan = stream_table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.timestamp_seconds(F.lit(1_000_000_000)).alias("ts"), (40 + F.col("c_custkey") % 60).alias("planned"))
+    return drain(K.block_clock(s, plan, 172_800, "1 hour"), "append").withColumnRenamed("key", "user_id").withColumn("quality", F.round("quality", 8))
+
+
+@query("stream_quiet_gate", "STR7", sql(ctes=_GATE, body="SELECT user_id, event_id FROM w WHERE sent"))
+def stream_quiet_gate(spark, sf):
+    return drain(K.quiet_gate(stream_events(spark, sf), "user_id", 86_400, "30 days"), "append").withColumnRenamed("key", "user_id")
