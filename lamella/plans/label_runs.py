@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import label_runs as R
+from ..operators import object_links as L
 from ..operators.ordered import ordinal
 from ..sources import tables as T
 from .registry import query, sql
@@ -214,3 +215,59 @@ def runs_replay(spark, sf):
         m.where("price < 100000").select("dataset", "block", "n", F.lit(None).cast("long").alias("z"))).unionByName(
         m.where("price > 400000 AND z IS NULL").select("dataset", "block", "n", F.lit(3).cast("long").alias("z")))
     return R.replay(before(spark, sf), s.where("NOT old"), m.drop("price"), gone)
+
+
+# ----------------------------------------------------------------------------- masks to objects
+
+# every author's strokes of one id on a section are a mask
+view("v_mpx", "SELECT DISTINCT dataset, block, z, y, x, id * 10 + CASE author WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS mask FROM v_spx", "v_spx")
+_MIN_AREA = 120
+_GREEDY = {
+    "ar": "SELECT dataset, block, z, mask, count(*) AS area FROM v_mpx GROUP BY ALL",
+    "rk": "SELECT *, row_number() OVER (PARTITION BY dataset, block, z ORDER BY area DESC, mask) AS r FROM ar",
+    "mp": "SELECT p.dataset, p.block, p.z, p.y, p.x, p.mask, rk.r FROM v_mpx p JOIN rk ON rk.dataset = p.dataset AND rk.block = p.block AND rk.z = p.z AND rk.mask = p.mask",
+    "lg": "SELECT a.dataset, a.block, a.z, a.y, a.x, a.mask, a.r, list(b.r) FILTER (b.r < a.r) AS larger FROM mp a JOIN mp b ON b.dataset = a.dataset AND b.block = a.block AND b.z = a.z AND b.y = a.y AND b.x = a.x GROUP BY ALL",
+    "gr": f"""SELECT DISTINCT dataset, block, z, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS took FROM rk
+ UNION ALL SELECT dataset, block, z, k + 1, CASE WHEN free >= {_MIN_AREA} THEN list_append(took, k + 1) ELSE took END FROM (
+  SELECT g.dataset, g.block, g.z, g.k, g.took, count(*) FILTER (l.larger IS NULL OR NOT list_has_any(l.larger, g.took)) AS free FROM gr g JOIN lg l ON l.dataset = g.dataset AND l.block = g.block AND l.z = g.z AND l.r = g.k + 1 GROUP BY ALL)""",
+    "fg": "SELECT dataset, block, z, arg_max(took, k) AS took FROM gr GROUP BY ALL",
+    "lb": "SELECT l.dataset, l.block, l.z, l.y, l.x, l.mask AS label FROM lg l JOIN fg ON fg.dataset = l.dataset AND fg.block = l.block AND fg.z = l.z WHERE list_contains(took, l.r) AND (l.larger IS NULL OR NOT list_has_any(l.larger, took))"}
+
+
+def _masks(spark, sf):
+    """The strokes of each mask painted together: told apart by the block's name, as in _disjoint."""
+    s = strokes(spark, sf)
+    mask = F.col("id") * 10 + F.when(F.col("author") == "A", 1).when(F.col("author") == "N", 2).otherwise(3)
+    return _disjoint(s.select(*_RUN, "n", mask.alias("query_id"))).select(*_RUN, F.col("query_id").alias("mask"))
+
+
+@query("runs_mask_consolidation", "ALG6", sql("v_mpx", ctes=_GREEDY, body="SELECT dataset, block, z, label AS mask, count(*) AS px, CAST(sum(y * 131 + x) AS BIGINT) AS place FROM lb GROUP BY ALL"))
+def runs_mask_consolidation(spark, sf):
+    c = L.consolidate(_masks(spark, sf), _MIN_AREA)
+    n = F.col("x1") - F.col("x0")
+    return c.groupBy(*R.PLANE, "mask").agg(F.sum(n).alias("px"), F.floor(F.sum((262 * F.col("y") + F.col("x0") + F.col("x1") - 1) * n) / 2).alias("place"))
+
+
+_IOU = 0.02
+
+
+def _link_sql(gap: int) -> str:
+    return f"""SELECT dataset, block, z, label, ref, cn / CAST(a + b - cn AS DOUBLE) AS iou FROM (SELECT c.dataset, c.block, c.z, c.label, p.label AS ref, count(*) AS cn FROM lb c
+ JOIN lb p ON p.dataset = c.dataset AND p.block = c.block AND p.z = c.z - {gap} AND p.y = c.y AND p.x = c.x GROUP BY ALL) JOIN (SELECT dataset, block, z, label, count(*) AS a FROM lb GROUP BY ALL) USING (dataset, block, z, label)
+ JOIN (SELECT dataset, block, z + {gap} AS z, label AS ref, count(*) AS b FROM lb GROUP BY ALL) USING (dataset, block, z, ref)"""
+
+
+def _best_sql(src: str) -> str:
+    return f"""SELECT dataset, block, z, ref, min(label) AS label FROM (SELECT *, row_number() OVER (PARTITION BY dataset, block, z, label ORDER BY iou DESC, ref) AS rn FROM {src}) WHERE rn = 1 AND iou >= {_IOU}e0 GROUP BY dataset, block, z, ref"""
+
+
+@query("runs_objects", "JN15, ALG6 linking", sql("v_mpx", ctes={
+    **_GREEDY, "i1": _link_sql(1), "n1": _best_sql("i1"),
+    "i2": "SELECT * FROM (" + _link_sql(2) + ") i ANTI JOIN n1 ON n1.dataset = i.dataset AND n1.block = i.block AND n1.z = i.z AND n1.label = i.label ANTI JOIN n1 m ON m.dataset = i.dataset AND m.block = i.block AND m.z = i.z - 1 AND m.ref = i.ref",
+    "n2": _best_sql("i2"), "lk": "SELECT *, z - 1 AS pz FROM n1 UNION ALL SELECT *, z - 2 FROM n2",
+    "ob": "SELECT DISTINCT dataset, block, z, label FROM lb",
+    "wk": "SELECT dataset, block, z, label, z AS rz, label AS rl FROM ob UNION ALL SELECT w.dataset, w.block, w.z, w.label, lk.pz, lk.ref FROM wk w JOIN lk ON lk.dataset = w.dataset AND lk.block = w.block AND lk.z = w.rz AND lk.label = w.rl"}, body="""
+SELECT dataset, block, z, label, min(rz) AS root_z, arg_min(rl, rz) AS root_label FROM wk GROUP BY ALL"""))
+def runs_objects(spark, sf):
+    labels = L.consolidate(_masks(spark, sf), _MIN_AREA).withColumnRenamed("mask", "label")
+    return L.objects(labels, _IOU)
