@@ -108,16 +108,28 @@ def with_halo(df: DataFrame, pos: str, back: int, ahead: int, width: int = BUCKE
     return df.withColumn("_cell", F.explode(cells)).withColumn("_own", F.col("_cell") == own)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], resolution: int = 65536,
+def value_bin(v: Column, per_octave: int = 1024) -> Column:
+    """A bin number that never falls as the double `v` rises, whatever its unit: `per_octave` equal bins between neighbouring powers of two,
+    mirrored for negative numbers. A group has at most 2 * 2100 * per_octave bins, in practice a few thousand."""
+    size = F.abs(v)
+    octave = F.floor(F.log2(size))
+    # where the logarithm is rounded to the next power the remainder is just below 0 or at its top, which gives the same bin
+    step = (octave + 1100) * per_octave + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * per_octave)
+    top = F.lit(3000 * per_octave)
+    code = F.when(size == 0, F.lit(0)).when(size == float("inf"), top).when(size < 2.3e-308, F.lit(1)).otherwise(step)
+    return F.when(v < 0, -code).otherwise(code).cast("long")
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], resolution: int = 1024,
                       count_as: str | None = None) -> DataFrame:
     """Exact, linearly interpolated percentiles per group, NULLs ignored: one row per group, one column per entry of `probs`.
 
-    Values are counted per (group, value), binned at 1/resolution, and only the bins that hold a wanted rank are
-    sorted. The group is never collected; a bin count per group crosses the network instead."""
+    Values are counted per (group, value), binned by value_bin (`resolution` bins per octave), and only the bins that hold a wanted rank are sorted. The
+    group is never collected; its bins, whose number is bounded whatever the values are, are counted in one window."""
     v = (
         df.where(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_vb", F.floor(F.col("_v") * resolution))
+        .withColumn("_vb", value_bin(F.col("_v"), resolution))
     )
     whole = _group_window(keys)
     upto = whole.orderBy("_vb").rowsBetween(Window.unboundedPreceding, 0)

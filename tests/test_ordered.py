@@ -124,3 +124,25 @@ def test_one_outlier_affects_at_most_two_later_sections(spark):
     run = lambda rows: {r.z: r.brightness_jump for r in brightness_jump(spark.createDataFrame(rows, "block_id string, z long, status string, mean double, in_chain boolean"), 12).collect()}
     a, b = run(base), run(odd)
     assert [z for z in a if a[z] != b[z]] and set(z for z in a if a[z] != b[z]) <= {5, 6, 7}
+
+
+def test_value_bins_rise_with_the_value(spark):
+    import struct
+
+    rng = random.Random(5)
+    values = [struct.unpack("<d", struct.pack("<q", rng.getrandbits(64) - (1 << 63)))[0] for _ in range(3000)]
+    values += [m * 2.0**e * (1 + d * 2.0**-52) for e in range(-1020, 1020, 37) for m in (1, -1) for d in (-1, 0, 1)] + [0.0, -0.0, 5e-324, -5e-324, float("inf"), float("-inf")]
+    values = sorted(v for v in values if v == v)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = sorted((r.v, r.b) for r in df.select("v", O.value_bin(F.col("v")).alias("b")).collect())
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+    assert len({b for v, b in rows if 1 <= v < 2}) <= 1024 and min(b for v, b in rows if v > 0) >= 1
+
+
+def test_percentiles_of_any_unit(spark):
+    rng = np.random.default_rng(6)
+    for scale in (1e-12, 1.0, 1e15):
+        v = np.concatenate([rng.normal(size=500) * scale, rng.lognormal(0, 8, 300) * scale, np.repeat(3.5 * scale, 200)])
+        df = spark.createDataFrame([("g", float(x)) for x in v], "g string, v double")
+        got = O.exact_percentiles(df, ["g"], "v", {"a": 0.01, "b": 0.5, "c": 0.99}).first()
+        np.testing.assert_allclose([got.a, got.b, got.c], np.percentile(v, [1, 50, 99]), rtol=1e-12)
