@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import crop_windows as C
 from ..operators import label_runs as R
 from ..sources import volumes as V
 from .files import _folder
@@ -135,3 +136,60 @@ def volume_cutout(spark, sf):
 
     got = p.select("dataset_id", "z_abs", "payload").mapInPandas(run, "volume string, z long, n long, s long")
     return got.groupBy("volume", "z").agg(F.sum("n").alias("n_px"), F.sum("s").alias("ids")).where("n_px > 0")
+
+
+# ----------------------------------------------------------------------------- crops
+
+# windows of 32 pixels without label 7, every 8 pixels
+_SIZE, _STRIDE, _SEAM = 32, 8, 8
+_CROPS = {
+    "pl": "SELECT DISTINCT dataset, block, z FROM v_rafter",
+    "gd": f"SELECT dataset, block, z, y0, unnest(range(0, {WIDTH - _SIZE + 1}, {_STRIDE})) AS x0 FROM (SELECT *, unnest(range(0, {HEIGHT - _SIZE + 1}, {_STRIDE})) AS y0 FROM pl)",
+    "cd": f"SELECT g.dataset, g.block, g.z, g.y0, g.x0, count(b.z) AS n_bad FROM gd g LEFT JOIN (SELECT * FROM v_rafter WHERE id = 7) b ON b.dataset = g.dataset AND b.block = g.block AND b.z = g.z AND b.y >= g.y0 AND b.y < g.y0 + {_SIZE} AND b.x >= g.x0 AND b.x < g.x0 + {_SIZE} GROUP BY ALL",
+    "rk": f"SELECT *, row_number() OVER (PARTITION BY dataset, block, z ORDER BY CASE WHEN y0 % {_SIZE} = 0 AND x0 % {_SIZE} = 0 THEN 0 ELSE 1 END, y0 % {_SIZE} + x0 % {_SIZE}, y0, x0) AS r FROM cd WHERE n_bad <= 40",
+    "gr": f"""SELECT DISTINCT dataset, block, z, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ys, CAST([] AS BIGINT[]) AS xs FROM rk
+ UNION ALL SELECT dataset, block, z, k + 1, CASE WHEN free THEN list_append(ys, y0) ELSE ys END, CASE WHEN free THEN list_append(xs, x0) ELSE xs END FROM (
+  SELECT gr.*, rk.y0, rk.x0, len(list_filter(list_zip(ys, xs), lambda p: abs(p[1] - rk.y0) < {_SIZE} AND abs(p[2] - rk.x0) < {_SIZE})) = 0 AS free FROM gr JOIN rk ON rk.dataset = gr.dataset AND rk.block = gr.block AND rk.z = gr.z AND rk.r = gr.k + 1)""",
+    "pk": "SELECT dataset, block, z, unnest(ys) AS y0, unnest(xs) AS x0 FROM (SELECT dataset, block, z, arg_max(ys, k) AS ys, arg_max(xs, k) AS xs FROM gr GROUP BY ALL)"}
+
+
+def _planes_of(spark, sf):
+    return after(spark, sf).select(*R.PLANE).distinct().withColumn("height", F.lit(HEIGHT)).withColumn("width", F.lit(WIDTH))
+
+
+def _crops(spark, sf):
+    """(planes, candidates, chosen): windows with at most 40 pixels of label 7."""
+    runs, planes = after(spark, sf), _planes_of(spark, sf)
+    found = C.candidates(planes, runs.where("id = 7"), _SIZE, _STRIDE)
+    return planes, found, C.pack(found.where("n_bad <= 40"), _SIZE, _STRIDE)
+
+
+@query("runs_crop_candidates", "SMP15", sql("v_rafter", ctes={k: _CROPS[k] for k in ("pl", "gd", "cd")}, body="SELECT dataset, block, z, y0, x0, n_bad FROM cd"))
+def runs_crop_candidates(spark, sf):
+    return _crops(spark, sf)[1]
+
+
+@query("runs_crop_packing", "SMP15 greedy", sql("v_rafter", ctes=_CROPS, body="SELECT dataset, block, z, y0, x0 FROM pk"))
+def runs_crop_packing(spark, sf):
+    return _crops(spark, sf)[2]
+
+
+@query("runs_crop_report", "AGG33, ALG19", sql("v_rafter", ctes={
+    **_CROPS,
+    "px": f"SELECT p.dataset, p.block, p.z, p.y0, p.x0, y - p.y0 AS dy, x - p.x0 AS dx, id * 30 AS v FROM pk p JOIN v_rafter a ON a.dataset = p.dataset AND a.block = p.block AND a.z = p.z AND y >= p.y0 AND y < p.y0 + {_SIZE} AND x >= p.x0 AND x < p.x0 + {_SIZE}",
+    "pf": f"SELECT pk.*, a.axis, i.i, coalesce(s.s, 0) / {_SIZE}e0 AS m FROM pk CROSS JOIN (VALUES (0), (1)) a(axis) CROSS JOIN (SELECT unnest(range(0, {_SIZE})) AS i) i LEFT JOIN (SELECT dataset, block, z, y0, x0, 0 AS axis, dx AS i, sum(v) AS s FROM px GROUP BY ALL UNION ALL SELECT dataset, block, z, y0, x0, 1, dy, sum(v) FROM px GROUP BY ALL) s USING (dataset, block, z, y0, x0, axis, i)",
+    "bn": f"SELECT *, avg(m) OVER w AS b, count(*) OVER w AS n FROM pf WINDOW w AS (PARTITION BY dataset, block, z, y0, x0, axis ORDER BY i ROWS BETWEEN CURRENT ROW AND {_SEAM - 1} FOLLOWING)",
+    "df": f"SELECT dataset, block, z, y0, x0, abs(lead(b, {_SEAM}) OVER (PARTITION BY dataset, block, z, y0, x0, axis ORDER BY i) - b) AS d, lead(n, {_SEAM}) OVER (PARTITION BY dataset, block, z, y0, x0, axis ORDER BY i) AS n2 FROM bn",
+    "sm": f"SELECT dataset, block, z, y0, x0, max(d) FILTER (n2 = {_SEAM}) / 255e0 AS seam FROM df GROUP BY ALL",
+    "sc": "SELECT pl.dataset, pl.block, pl.z, coalesce(n, 0) AS n, worst FROM pl LEFT JOIN (SELECT dataset, block, z, count(*) AS n FROM pk GROUP BY ALL) USING (dataset, block, z) JOIN (SELECT dataset, block, z, max(n_bad) AS worst FROM cd GROUP BY ALL) USING (dataset, block, z)"}, body=f"""
+SELECT dataset, block, n_sections, n_dropped, n_cut, n_crops, kept_frac, seam_median, seam_max FROM (SELECT dataset, block, count(*) AS n_sections, count(*) FILTER (n = 0) AS n_dropped, count(*) FILTER (worst > 0) AS n_cut, CAST(sum(n) AS BIGINT) AS n_crops,
+ round(sum(n) * {_SIZE * _SIZE}e0 / nullif(count(*) FILTER (n > 0) * {HEIGHT * WIDTH}, 0), 8) AS kept_frac FROM sc GROUP BY dataset, block) LEFT JOIN (SELECT dataset, block, round(quantile_cont(seam, 0.5), 8) AS seam_median, round(max(seam), 8) AS seam_max FROM sm GROUP BY dataset, block) USING (dataset, block)"""))
+def runs_crop_report(spark, sf):
+    planes, found, chosen = _crops(spark, sf)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in R.PLANE}, "h": [HEIGHT], "w": [WIDTH], "payload": [(_plane(rows) * 30).tobytes()]})
+
+    images = after(spark, sf).groupBy(*R.PLANE).applyInPandas(run, "dataset string, block string, z long, h int, w int, payload binary")
+    r = C.report(planes, found, C.seams(chosen, images, _SIZE, _SEAM), _SIZE)
+    return r.select("dataset", "block", "n_sections", "n_dropped", "n_cut", "n_crops", *[F.round(c, 8).alias(c) for c in ("kept_frac", "seam_median", "seam_max")])
