@@ -8,8 +8,9 @@ the mean, whatever the size. The sorted keys lie at the end of the index, for wa
 Documents are dealt out by key ranges, so a shard is a sorted run and shards follow each other; only shards' totals meet at the driver
 (one row per shard of up to `shard_bytes`) for the running start. Tasks write under attempt names, see storage.created.
 
-A null text counts as empty: the end id alone. A row without a key cannot be addressed and is left out. Rows that share a key are all
-written, ordered by text; a lookup finds the first, a walk finds all.
+A null text counts as empty: the end id alone. Rows without a key cannot be looked up; they are written behind all others, into shards of
+their own, and a walk finds them (key null, ordered by text within a shard). Rows that share a key are all written, ordered
+by text; a lookup finds the first, a walk finds all.
 """
 from __future__ import annotations
 
@@ -130,25 +131,27 @@ class Shard:
 
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_bytes: int = 1 << 26, width: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode and write all documents below `folder`; returns the stored manifest: shard, first_key, n_records, n_ids."""
+    """Encode and write all documents below `folder`; returns the stored manifest: shard, first_key (null for rows without a key), n_records, n_ids."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches):
+    def run(batches, keyed: bool = True):
         enc, task = encoder(path, "word"), TaskContext.get()
         base = f"{folder}/shards/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        out, keys, lengths, held, count = None, [], [], 0, 0
+        out, keys, lengths, held, count, serial = None, [], [], 0, 0, 0
 
         def closed():
             out.close()
             k, n = np.array(keys, np.int64), np.array(lengths, np.int64)
             with created(f"{base}-{count}.idx") as f:
                 f.write(index_bytes(k, n, width))
-            return pd.DataFrame({"shard": [f"{base}-{count}"], "first_key": [int(k[0])], "n_records": [len(k)], "n_ids": [int(n.sum())]})
+            return pd.DataFrame({"shard": [f"{base}-{count}"], "first_key": pd.array([int(k[0]) if keyed else None], "Int64"), "n_records": [len(k)], "n_ids": [int(n.sum())]})
 
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part = batch.iloc[at : at + SLICE]
-                for k, i in zip(part["doc_id"].tolist(), enc.encode(part["text"].tolist()), strict=True):
+                numbers = part["doc_id"].tolist() if keyed else range(serial, serial + len(part))  # rows without a key are numbered through
+                serial += len(part)
+                for k, i in zip(numbers, enc.encode(part["text"].tolist()), strict=True):
                     if out is not None and held >= shard_bytes and k != keys[-1]:
                         yield closed()
                         out, keys, lengths, held, count = None, [], [], 0, count + 1
@@ -164,9 +167,11 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str, shard_bytes: int
         if out is not None:
             yield closed()
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    made = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(run, "shard string, first_key long, n_records long, n_ids long")
-    made.write.parquet(f"{folder}/manifest")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    manifest = "shard string, first_key long, n_records long, n_ids long"
+    made = rows.where("doc_id IS NOT NULL").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(run, manifest)
+    loose = rows.where("doc_id IS NULL").repartition(F.xxhash64("text")).sortWithinPartitions("text").mapInPandas(lambda batches: run(batches, False), manifest)
+    made.unionByName(loose).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
@@ -185,13 +190,13 @@ def numbered(shard: Shard, name: str) -> np.ndarray:
 def walk(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Read every record back through the index: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
     shards, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r.first_key):  # one row per shard
-        shards.append((r.shard, start))
+    for r in sorted(manifest.collect(), key=lambda r: (r.first_key is None, r.first_key or 0, r.shard)):  # one row per shard
+        shards.append((r.shard, start, r.first_key is not None))
         start += r.n_ids
 
     def run(batches):
         for batch in batches:
-            for name, base in zip(batch["shard"], batch["base"], strict=True):
+            for name, base, keyed in zip(batch["shard"], batch["base"], batch["keyed"], strict=True):
                 shard = Shard(name)
                 record = numbered(shard, name)
                 for at in range(0, len(record), SLICE):
@@ -201,17 +206,18 @@ def walk(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     begin, end = shard.offsets[mine].astype(np.int64), shard.offsets[mine + 1].astype(np.int64)
                     base_of = int(shard.offsets[low])
                     cut = [ids[a:b].tobytes() for a, b in zip(begin - base_of, end - base_of, strict=True)]
-                    yield pd.DataFrame({"doc_id": shard.keys[at : at + SLICE], "start": base + begin, "n_tokens": end - begin, "ids": cut})
+                    keys = shard.keys[at : at + SLICE]
+                    yield pd.DataFrame({"doc_id": keys if keyed else pd.array([None] * len(keys), "Int64"), "start": base + begin, "n_tokens": end - begin, "ids": cut})
                 shard.close()
 
-    frame = spark.createDataFrame(shards, "shard string, base long")
+    frame = spark.createDataFrame(shards, "shard string, base long, keyed boolean")
     return frame.repartition(max(1, len(shards))).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def lookup(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """Ids of the given keys: each key goes to the shard whose range holds it, one constant-time step finds the record there. Keys
     that no shard holds get null ids."""
-    rows = sorted((r.first_key, r.shard) for r in manifest.collect())
+    rows = sorted((r.first_key, r.shard) for r in manifest.where("first_key IS NOT NULL").collect())
     firsts, names = np.array([f for f, _ in rows], np.int64), [n for _, n in rows]
 
     def run(batches):

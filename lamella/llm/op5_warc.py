@@ -27,10 +27,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import RangeFile, created, shared_folder
+from .storage import RangeFile, created, shared_folder, stored
 
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -228,8 +228,21 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = rows.withColumn("_sha", F.sha1("html"))
     large = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).where((F.octet_length("html") >= least) & F.col("page_id").isNotNull())
     twice = large.groupBy(F.sha1("html").alias("_sha")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_sha", "_first")
-    out = rows.join(twice, "_sha", "left")
-    return out.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    out = _numbered(rows).join(twice, "_sha", "left")
+    other = (F.col("page_id") != F.col("_first")) | (F.col("_copy") > 1)
+    return out.select("page_id", "url", "html", F.when(other, F.col("_first")).alias("refers_to"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`_copy`: 1 for the first row of each key and payload (smallest url, nulls first), larger for the others. Only keys that several rows have are
+    touched: equal rows become one with their number, are numbered through and come apart again, dealt by key and number."""
+    again = stored(rows.where("page_id IS NOT NULL").groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("page_id"))
+    if again.isEmpty():
+        return rows.withColumn("_copy", F.lit(1).cast("long"))
+    alike = rows.join(again, "page_id", "left_semi").groupBy("page_id", "url", "_sha").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("page_id", "_sha").orderBy(F.col("url").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    apart = alike.withColumn("_b", before).withColumn("_copy", F.explode(F.sequence(F.col("_b") + 1, F.col("_b") + F.col("_n")))).repartition("page_id", "_copy")
+    return rows.join(again, "page_id", "left_anti").withColumn("_copy", F.lit(1).cast("long")).unionByName(apart.drop("_n", "_b"))
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, package_bytes: int = 1 << 26) -> DataFrame:

@@ -125,16 +125,20 @@ def test_perfect_hash_is_minimal_and_tells_strangers():
 
 def test_token_store_round_trip(spark, scratch):
     word = Tokenizer.from_file(WORD)
-    rows = [(i * 3 - 30, t) for i, t in enumerate(ODD)] + [(1000, None), (None, "left out"), (5, "b twice"), (5, "a twice")]
+    rows = [(i * 3 - 30, t) for i, t in enumerate(ODD)] + [(1000, None), (None, "no key"), (None, None), (None, "no key"), (5, "b twice"), (5, "a twice")]
     docs = docs_of(spark, rows).repartition(3)
     manifest = op10_token_store.write(docs, WORD, 2, scratch + "/store", shard_bytes=64)
-    got = sorted((r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in op10_token_store.walk(spark, manifest).collect())
+    read = [(r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in op10_token_store.walk(spark, manifest).collect()]
+    got = sorted(r for r in read if r[0] is not None)
     want, at = [], 0
     for i, t in sorted([(i, t or "") for i, t in rows if i is not None]):
         ids = word.encode(t, add_special_tokens=False).ids + [2]
         want.append((i, at, len(ids), np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert got == want
+    loose = sorted(r[1:] for r in read if r[0] is None)  # behind all others, without gaps
+    assert loose[0][0] == at and all(a[0] + a[1] == b[0] for a, b in zip(loose, loose[1:]))
+    assert sorted(r[2] for r in loose) == sorted(np.array(word.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for t in ("no key", "no key", ""))
     assert manifest.count() > 3
     asked = spark.createDataFrame([(1000,), (-30,), (5,), (777,), (-999,)], "doc_id long")
     found = {r.doc_id: r.ids for r in op10_token_store.lookup(asked, manifest).collect()}
