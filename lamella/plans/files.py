@@ -9,6 +9,7 @@ from ..operators import delivery as D
 from ..operators import stats as X
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks as K
+from ..sources import snapshots as N
 from ..sources import tables as T
 from .registry import query, sql
 from .section_quality import REPORT_CTES, _report
@@ -31,6 +32,25 @@ def persist_one_block(spark, sf):
     return spark.read.parquet(f"{root}/qc_blocks").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_passed").alias("n_passed"))
 
 
+@query("persist_snapshots", "SNK1", sql("v_slices", ctes={"b": REPORT_CTES["b"], "f": "SELECT min(block_id) AS first, max(block_id) AS last FROM b"}, body="""
+SELECT v.version, dataset_id, count(*) AS n_blocks, CAST(sum(n_passed + CASE WHEN v.version >= 2 AND block_id = first THEN 1000 ELSE 0 END + CASE WHEN v.version >= 3 AND block_id = last THEN 5000 ELSE 0 END) AS BIGINT) AS n_passed
+FROM b, f, (VALUES (1), (2), (3), (4)) v(version) GROUP BY v.version, dataset_id"""))
+def persist_snapshots(spark, sf):
+    """All blocks, then one block anew, then another one by a writer that has only seen version 1, then all in one commit; every version stays readable."""
+    root, rows = _folder(spark, "snapshots"), _report(spark, sf).select(F.lit(1).alias("run_id"), "dataset_id", "block_id", "n_passed")
+    N.commit(rows, root)
+    rows = N.snapshot(spark, root, 1)
+    ends = rows.agg(F.min("block_id").alias("first"), F.max("block_id").alias("last")).first()
+    for block, more in ((ends["first"], 1000), (ends["last"], 5000)):
+        N.commit(rows.where(F.col("block_id") == block).withColumn("n_passed", F.col("n_passed") + more), root, parent=1)
+    N.compact(spark, root)
+    out = None
+    for v in (1, 2, 3, 4):
+        part = N.snapshot(spark, root, v).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("n_passed").alias("n_passed")).withColumn("version", F.lit(v))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("export_written", "SNK2", sql("v_slices", body="SELECT block_id, count(*) AS n_sections, CAST(sum(z) AS BIGINT) AS z_sum, CAST(sum(length(concat(block_id, ':', z))) AS BIGINT) AS n_bytes FROM v_slices GROUP BY block_id"))
 def export_written(spark, sf):
     s, root = slices(spark, sf).select("block_id", "z"), _folder(spark, "export")
