@@ -88,6 +88,31 @@ def metrics_long(blocks: DataFrame) -> DataFrame:
     return wide.unpivot(["dataset_id", "block_id"], names, "metric_name", "metric_value")
 
 
+def dataset_metrics(blocks: DataFrame, findings: DataFrame) -> DataFrame:
+    """The twelve metrics of a dataset, one row each (dataset_id, stage, metric_name, metric_value), and the number of findings by type as
+    `extra` of a thirteenth. `blocks`: block_report with bytes_read, started and ended (seconds) and split (train, val, test or NULL)."""
+    train = F.col("split").isin("train", "train_sample")
+    d = blocks.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.sum("n_slices").alias("n_slices_input"), F.sum("n_passed").alias("n_slices_passed"), (F.sum("n_passed") / F.sum("n_slices")).alias("retention_rate"),
+        (F.sum(F.col("quality") * F.col("n_slices")) / F.sum(F.when(F.col("quality").isNotNull(), F.col("n_slices")))).alias("quality_score"),
+        F.sum("n_missing").alias("n_missing"), F.sum("n_corrupt").alias("n_corrupt"), (F.max("ended") - F.min("started")).alias("duration_s"), F.count_if(train).alias("n_train_blocks"),
+        F.coalesce(F.sum(F.when(train, F.col("n_slices"))), F.lit(0)).alias("n_train_slices"), F.sum("bytes_read").alias("bytes_read"))
+    types = findings.groupBy("dataset_id", "failure_type").agg(F.count(F.lit(1)).alias("n"))  # a row per type
+    by_type = types.groupBy("dataset_id").agg(F.sum("n").alias("n_findings"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("failure_type", "n"))))).alias("extra"))
+    d = d.join(by_type, "dataset_id", "left").fillna(0, ["n_findings"])
+    names = ["n_blocks", "n_slices_input", "n_slices_passed", "retention_rate", "quality_score", "n_findings", "n_missing", "n_corrupt", "duration_s", "n_train_blocks", "n_train_slices", "bytes_read"]
+    wide = d.select("dataset_id", *[F.col(n).cast("double").alias(n) for n in names], F.col("n_findings").cast("double").alias("findings_by_type"), F.coalesce("extra", F.lit("{}")).alias("map"))
+    long = wide.unpivot(["dataset_id", "map"], [*names, "findings_by_type"], "metric_name", "metric_value")
+    return long.select("dataset_id", F.lit("dataset").alias("stage"), "metric_name", "metric_value", F.when(F.col("metric_name") == "findings_by_type", F.col("map")).alias("extra"))
+
+
+def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """One page of a listing with `total` and `next_offset` (NULL on the last page). `order` must be total."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
+    at = F.when(F.lit(offset + limit) < F.col("total"), F.lit(offset + limit)).cast("long")
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total)).withColumn("next_offset", at)
+
+
 def difficulty(quality: Column, retention: Column, n_medium: Column, n_slices: Column, grade_col: Column) -> Column:
     """0 easy .. 1 hard: half lost quality, 0.3 lost retention, 0.2 density of medium findings; D is at least 0.9."""
     q = F.lit(1.0) - F.coalesce(quality, F.lit(0.0))

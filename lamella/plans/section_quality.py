@@ -208,6 +208,34 @@ def metrics_long(spark, sf):
     return R.metrics_long(_report(spark, sf)).select("dataset_id", "block_id", "metric_name", F.round("metric_value", 6).alias("metric_value"))
 
 
+# a block reads 65536 bytes per readable section, lasts from its first to its last section and is for training when its number is even
+_MET = {"b": REPORT_CTES["b"], "t": "SELECT block_id, floor(epoch_us(min(ts)) / 1000000) AS s, floor(epoch_us(max(ts)) / 1000000) AS e FROM v_sections GROUP BY block_id",
+        "m": """SELECT dataset_id, CAST(count(*) AS DOUBLE) AS n_blocks, CAST(sum(n_slices) AS DOUBLE) AS n_slices_input, CAST(sum(n_passed) AS DOUBLE) AS n_slices_passed, sum(n_passed) / CAST(sum(n_slices) AS DOUBLE) AS retention_rate,
+ sum(quality * n_slices) / sum(n_slices) AS quality_score, CAST(sum(n_missing) AS DOUBLE) AS n_missing, CAST(sum(n_corrupt) AS DOUBLE) AS n_corrupt, CAST(max(e) - min(s) AS DOUBLE) AS duration_s,
+ CAST(count(*) FILTER (CAST(substr(b.block_id, 2) AS INTEGER) % 2 = 0) AS DOUBLE) AS n_train_blocks, CAST(coalesce(sum(n_slices) FILTER (CAST(substr(b.block_id, 2) AS INTEGER) % 2 = 0), 0) AS DOUBLE) AS n_train_slices,
+ CAST(sum(n_ok) * 65536 AS DOUBLE) AS bytes_read FROM b JOIN t ON t.block_id = b.block_id GROUP BY dataset_id""",
+        "f": "SELECT dataset_id, CAST(sum(n) AS DOUBLE) AS n_findings, concat('{', string_agg(concat('\"', failure_type, '\":', n), ',' ORDER BY failure_type), '}') AS extra FROM (SELECT dataset_id, failure_type, count(*) AS n FROM v_findings GROUP BY ALL) GROUP BY dataset_id",
+        "w": "SELECT m.*, coalesce(n_findings, 0) AS n_findings, coalesce(n_findings, 0) AS findings_by_type, coalesce(extra, '{}') AS extra FROM m LEFT JOIN f ON f.dataset_id = m.dataset_id"}
+
+
+@query("dataset_metrics", "AGG12", sql("v_slices", "v_findings", ctes=_MET, body="""
+SELECT dataset_id, 'dataset' AS stage, metric_name, round(metric_value, 6) AS metric_value, CASE WHEN metric_name = 'findings_by_type' THEN extra END AS extra FROM w
+ UNPIVOT (metric_value FOR metric_name IN (n_blocks, n_slices_input, n_slices_passed, retention_rate, quality_score, n_findings, n_missing, n_corrupt, duration_s, n_train_blocks, n_train_slices, bytes_read, findings_by_type))"""))
+def dataset_metrics(spark, sf):
+    t = T.sections(spark, sf).groupBy("block_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    sec = lambda c: F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz")) / 1_000_000)
+    even = F.substring("block_id", 2, 9).cast("int") % 2 == 0
+    b = _report(spark, sf).join(t.select("block_id", sec("a").alias("started"), sec("z").alias("ended")), "block_id").withColumn("bytes_read", F.col("n_ok") * 65536).withColumn("split", F.when(even, "train").otherwise("val"))
+    return R.dataset_metrics(b, S.findings(rolled(spark, sf))).withColumn("metric_value", F.round("metric_value", 6))
+
+
+@query("findings_page", "PRJ9, PRJ11", sql("v_findings", ctes={"o": "SELECT dataset_id, block_id, z, check_name, sev, row_number() OVER (ORDER BY sev DESC, dataset_id, block_id, z, check_name) - 1 AS i, count(*) OVER () AS total FROM v_findings"}, body="""
+SELECT dataset_id, block_id, z, check_name, CAST(sev AS INTEGER) AS sev, total, CASE WHEN 600 < total THEN 600 END AS next_offset FROM o WHERE i >= 400 AND i < 600"""))
+def findings_page(spark, sf):
+    f = S.findings(rolled(spark, sf)).select("dataset_id", "block_id", "z", "check_name", "sev")
+    return R.page(f, [F.col("sev").desc(), "dataset_id", "block_id", "z", "check_name"], 400, 200)
+
+
 @query("findings_filter", "PRJ8, PRJ9", sql("v_findings", body="""
 SELECT dataset_id, block_id, z, check_name, failure_type, CAST(sev AS INTEGER) AS sev, round(score, 6) AS score FROM v_findings WHERE sev >= 3
 ORDER BY dataset_id, z, block_id, check_order LIMIT 500"""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators import crop_windows as C
 from ..operators import label_runs as R
+from ..sources import tables as T
 from ..sources import volumes as V
+from ..streaming.operators import read_json_log
 from .files import _folder
 from .label_runs import HEIGHT, WIDTH, after
 from .registry import query, sql
@@ -138,6 +141,27 @@ def volume_cutout(spark, sf):
     return got.groupBy("volume", "z").agg(F.sum("n").alias("n_px"), F.sum("s").alias("ids")).where("n_px > 0")
 
 
+@query("torn_log", "STR10", sql(body="SELECT conv_id AS block, turn AS seq, role AS author, CAST(length(text) AS BIGINT) AS n_px FROM conversations"))
+def torn_log(spark, sf):
+    """An edit log of several files, each of which broke off within its last line, read back whole but for these lines."""
+    folder = _folder(spark, "log")
+    rows = T.load(spark, sf, "conversations").select(F.to_json(F.struct(F.col("conv_id").alias("block"), F.col("turn").alias("seq"), F.col("role").alias("author"), F.length("text").cast("long").alias("n_px"))).alias("line"))
+
+    def write(batches):
+        system, path = V.opened(f"{folder}/part-{uuid.uuid4().hex}.jsonl")
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        n = 0
+        with system.open_output_stream(path, compression=None) as out:
+            for batch in batches:
+                out.write("".join(f"{line}\n" for line in batch["line"]).encode())
+                n += len(batch)
+            out.write(f'{{"block": {n}, "seq": 9, "auth'.encode())
+        yield pd.DataFrame({"n": [n]})
+
+    rows.repartition(4).mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return read_json_log(spark, folder, "block bigint, seq bigint, author string, n_px bigint")
+
+
 # ----------------------------------------------------------------------------- crops
 
 # windows of 32 pixels without label 7, every 8 pixels
